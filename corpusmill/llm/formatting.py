@@ -55,8 +55,8 @@ def _is_query(text: str) -> bool:
 def _any(value: object) -> str:
     if isinstance(value, str):
         return canonical_query(value) if _is_query(value) else canonical_value(value)
-    if isinstance(value, dict):
-        return _fields([(str(k), v) for k, v in value.items()])
+    if isinstance(value, _Pairs):
+        return _fields(list(value))
     if isinstance(value, list):
         return "[" + ",".join(_any(v) for v in value) + "]"
     return canonical_value("null" if value is None else str(value))
@@ -66,8 +66,8 @@ def _fields(pairs: list[tuple[str, object]]) -> str:
     return "{" + "|".join(sorted(f"{canonical_value(k)}={_any(v)}" for k, v in pairs)) + "}"
 
 
-class _Raw(str):
-    """A JSON number as it was written."""
+class _Pairs(list):
+    """The fields of a JSON object, repeated names included; numbers stay as they were written."""
 
 
 def canonical(text: str) -> str:
@@ -80,11 +80,11 @@ def canonical(text: str) -> str:
     bare = re.sub(r"^json\s*(?=\{)", "", bare)
     if bare.startswith("{"):
         try:
-            value = json.loads(bare.rstrip(";. \n"), object_pairs_hook=lambda pairs: _Pairs(pairs), parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
-        except ValueError:
+            value = json.loads(bare.rstrip(";. \n"), object_pairs_hook=_Pairs, parse_float=str, parse_int=str, parse_constant=str)
+        except (ValueError, RecursionError):
             value = None
         if isinstance(value, _Pairs):
-            return _fields(value.plain())
+            return _fields(list(value))
     if _is_query(bare):
         return "q:" + canonical_query(text)
     inner = bare.strip("{}()")
@@ -96,13 +96,6 @@ def canonical(text: str) -> str:
     return "v:" + canonical_value(text)
 
 
-class _Pairs(list):
-    """The fields of a JSON object, repeated names included."""
-
-    def plain(self) -> list[tuple[str, object]]:
-        return [(k, dict(v) if isinstance(v, _Pairs) else v) for k, v in self]
-
-
 def _canonical_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         batch["canon"] = [canonical(t) for t in batch["pred"]]
