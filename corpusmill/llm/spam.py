@@ -38,6 +38,8 @@ _HASH = re.compile(r"(?<!\w)#[\w-]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CODE = re.compile(r"^\s*(?:select|from|where|and|or|inner|left|join|group|order|having|limit|insert|create|update|delete|with|on|values|set)\b.*|.*\bselect\b.*\bfrom\b.*", re.I | re.S)
+_BARS = re.compile(r"\s*[|·•»›>/]\s+|\s+[-–—:~]\s+")
+_SIGNS = re.compile(r"[.!?:;=|]|\d{3}")
 _ALL = frozenset().union(*FUNCTION_WORDS.values()) - {"a", "i", "e", "o", "me", "us"}
 _SETS = {k: v for k, v in FUNCTION_WORDS.items()}
 
@@ -53,6 +55,27 @@ def _own(words: list[str]) -> frozenset[str]:
     return best
 
 
+def _menus(segments: list[tuple[list[str], int, int, str]], plain: list[bool], code: list[bool]) -> list[bool]:
+    """Which segments are menu entries: a line of six short entries at least between bars, dots or slashes, or six short lines in a row. Cells of numbers are none."""
+    out = []
+    short = []
+    for (w, _, _, clean), sentence, is_code in zip(segments, plain, code, strict=True):
+        entries = [e for e in _BARS.split(clean) if e.strip()]
+        texts = [e for e in entries if _WORD.search(e)]
+        free = not sentence and not is_code
+        out.append(free and len(texts) >= 6 and len(texts) >= 0.8 * len(entries) and len(w) <= 3.5 * len(texts))
+        short.append(free and 0 < len(w) <= 3 and not _SIGNS.search(clean))
+    run = 0
+    for i, s in enumerate([*short, False]):
+        if s:
+            run += 1
+            continue
+        if run >= 6:
+            out[i - run : i] = [True] * run
+        run = 0
+    return out
+
+
 def _sentence(words: list[str], text: str, known: frozenset[str]) -> bool:
     """Whether words read as a sentence: four at least, a fifth function words; without a closing sign more and different ones."""
     if len(words) < 4:
@@ -112,9 +135,10 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
         plain.append(sentence)
         if sentence and len(w) < 60 and len(set(w)) < len(w):
             for x, n in Counter(w).items():
-                if n >= 2 and x not in known and len(x) > 2:
+                if n >= 2 and x not in known and x not in _ALL and len(x) > 2:
                     twice[x] += 1
     stuffed = {x for x, n in twice.items() if n >= 2}
+    menu = _menus(segments, plain, code)
     loose: Counter[str] = Counter()
     for (w, *_), sentence, is_code in zip(segments, plain, code, strict=True):
         if not sentence and not is_code:
@@ -122,7 +146,7 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
     n_loose = sum(loose.values())
     repeated = {x for x, n in loose.items() if n >= 3} if n_loose and len(loose) <= 0.6 * n_loose else set()
     listed = spam = 0
-    for (w, urls, tags, _), sentence, is_code in zip(segments, plain, code, strict=True):
+    for (w, urls, tags, _), sentence, is_code, is_menu in zip(segments, plain, code, menu, strict=True):
         size = len(w) + urls + tags
         if sentence:
             keys = sum(x in stuffed for x in w)
@@ -134,7 +158,7 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
         if is_code:
             continue
         listed += size
-        if urls or tags or (repeated and any(x in repeated for x in w)):
+        if urls or tags or is_menu or (repeated and any(x in repeated for x in w)):
             spam += size
     counts = Counter(words)
     n = len(words)
