@@ -66,6 +66,15 @@ def negative_log_likelihood(target_logit: Column, log_sum: Column, weight: Colum
     return weight * (log_sum - target_logit)
 
 
+def token_stats(logits: Column, target: Column) -> tuple[Column, Column]:
+    """(log-probability of the target position, counted from 0, entropy) of an array of logits; stable for large logits."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    log_sum = F.log(total) + top
+    mean = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - log_sum) * x)
+    return F.get(logits, target) - log_sum, log_sum - mean
+
+
 def divergence(p_logs: Column, q_logs: Column) -> Column:
     """KL of two log-probability arrays over the same ids plus a bin for the rest; the bin counts only when both have a rest."""
     p_rest = F.lit(1.0) - F.aggregate(p_logs, F.lit(0.0), lambda a, x: a + F.exp(x))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .advantage import advantages
 from .ranking import grouped_rank
 
 ALIGN = 256
@@ -157,6 +158,19 @@ def batch_plan(rows: DataFrame, length: str, global_batch: int, micro_batch: int
     return placed.withColumn("width", width.cast("bigint")).select("epoch", "global_batch", "micro_batch", "place", key, "length", "width")
 
 
+def check_minibatches(sequences: int, mini_batch: int, drop_partial: bool) -> None:
+    """Raise when dropping the partial batch would leave no optimizer step."""
+    if drop_partial and sequences < mini_batch:
+        raise ValueError(f"{sequences} sequences are fewer than a mini-batch of {mini_batch}, and partial batches are dropped")
+
+
+def rollout_sequences(rollouts: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, norm: str = "std", overlong: str = "drop") -> DataFrame:
+    """(id, group_id, advantage, input_ids, loss_weight, n_real, n_trained): rendered members of groups with differing rewards."""
+    scored = advantages(rollouts.select("id", "group_id", "reward"), norm).select("id", "group_id", "advantage")
+    kept = rendered(rollouts.join(scored.select("id"), "id", "left_semi"), encode, limit, overlong).filter("status = 'kept'")
+    return kept.join(scored, "id").select("id", "group_id", "advantage", "input_ids", "loss_weight", "n_real", "n_trained")
+
+
 def optimizer_steps(plan: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
     """(epoch, steps): global batches that carry any weight."""
     total = plan.join(weights.select(key, "weight"), key).groupBy("epoch", "global_batch").agg(F.sum("weight").alias("w"))

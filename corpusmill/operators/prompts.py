@@ -69,6 +69,20 @@ def prompt_sizes(prompts: DataFrame) -> DataFrame:
     return prompts.agg(F.count(F.lit(1)).alias("prompts"), F.max(size).alias("chars_max"), F.round(F.avg(size), 1).alias("chars_mean"))
 
 
+def schema_sizes(schemas: DataFrame) -> DataFrame:
+    """(db_id, chars) of schema texts."""
+    return schemas.groupBy("db_id").agg(F.max(F.length("schema_text")).alias("chars"))
+
+
+def check_splits(splits: list[str], own: str, known: tuple[str, ...] = ("train", "dev", "test")) -> None:
+    """Raise for split names that don't exist or are the split being written."""
+    for s in splits:
+        if s not in known:
+            raise ValueError(f"unknown split {s!r}")
+        if s == own:
+            raise ValueError(f"{s!r} is the split being written")
+
+
 def correction_prompts(failed: DataFrame, prompts: DataFrame, answers: DataFrame, template: str = "{original}\n\nYour answer was:\n{answer}\n\nIt {feedback}.\n\nGive a corrected answer.") -> DataFrame:
     """(id, source_sample, student_response, messages) for failed samples; questions without a prompt or answer are skipped.
 

@@ -154,3 +154,50 @@ def test_entry_and_queries(spark, sf):
     got = named["grade_summary"](spark, sf).first()
     assert got.questions > 0
     assert named["kl_guard"](spark, sf).count() > 0
+
+
+def test_chat_source(spark):
+    from corpusmill.sources import chat
+
+    class Reply:
+        def __init__(self, body):
+            self.body = body
+
+        def read(self):
+            return self.body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    calls, waits = [], []
+
+    def opener(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) < 3:
+            raise TimeoutError("slow")
+        return Reply(b'{"choices": []}')
+
+    assert chat.post("http://x/v1/", {}, sleep=waits.append, opener=opener) == {"choices": []} and waits == [5.0, 10.0] and calls[0] == "http://x/v1/chat/completions"
+
+    def never(request, timeout):
+        raise TimeoutError("slow")
+
+    with pytest.raises(chat.ChatError, match="gave up after 2"):
+        chat.post("http://x", {}, attempts=2, sleep=waits.append, opener=never)
+    assert chat.may_retry(503, "") and chat.may_retry(400, "Overloaded") and not chat.may_retry(400, "bad")
+    got = chat.in_order(lambda x: 6 // x, [1, 0, 3], workers=2)
+    assert got[0] == 6 and isinstance(got[1], ZeroDivisionError) and got[2] == 2
+
+    def call(endpoint, body):
+        if body["messages"][0]["content"] == "bad":
+            raise ValueError("no")
+        return {"model": "m", "choices": [{"message": {"content": endpoint}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 1, "completion_tokens": body["n"]}}
+
+    prompts = spark.createDataFrame([("a", [("user", "x")]), ("b", [("user", "bad")])], "id string, messages array<struct<role: string, content: string>>").coalesce(1)
+    rows = {r.id: r for r in chat.generate(prompts, ["http://1", "http://2"], {"n": 4}, call=call).collect()}
+    assert rows["a"].choices[0].finish_reason == "stop" and rows["a"].usage.completion_tokens == 4 and rows["b"].error == "ValueError: no" and rows["b"].choices is None
+    with pytest.raises(ValueError, match="endpoints"):
+        chat.generate(prompts, [], {})

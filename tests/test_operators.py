@@ -294,3 +294,31 @@ def test_evictions(spark):
     assert {r.path for r in batching.evictions(entries, free=5, need=10, reserve=20, keep=["k"]).collect()} == {"b", "c"}
     assert batching.evictions(entries, free=100, need=10, reserve=20).count() == 0
     assert batching.enough(entries, 5, 10, 20, ["k"]) and not batching.enough(entries, 5, 100, 20, ["k"])
+
+
+def test_sequences_and_stats(spark):
+    import math
+
+    chars = lambda text: [(ord(c), i, i + 1) for i, c in enumerate(text)]
+    rows = spark.createDataFrame([("a#s0", "a", 1.0, [("user", "q")], "x"), ("a#s1", "a", 0.0, [("user", "q")], "y"), ("b#s0", "b", 1.0, [("user", "q")], "z")], "id string, group_id string, reward double, messages array<struct<role: string, content: string>>, response string")
+    got = {r.id: r.advantage for r in batching.rollout_sequences(rows, chars, 256).collect()}
+    assert got == {"a#s0": 1.0, "a#s1": -1.0}
+    batching.check_minibatches(4, 4, True)
+    with pytest.raises(ValueError, match="fewer"):
+        batching.check_minibatches(3, 4, True)
+    logp, entropy = advantage.token_stats(F.array(*[F.lit(x) for x in (1000.0, 1000.0)]), F.lit(0))
+    r = spark.range(1).select(logp.alias("l"), entropy.alias("e")).first()
+    assert abs(r.l + math.log(2)) < 1e-9 and abs(r.e - math.log(2)) < 1e-9
+    p = [math.log(0.5), math.log(0.25)]
+    positions = spark.createDataFrame([("x", 1, 1, p, p, -1.0, -1.5), ("x", 1, 2, p, p[::-1], -1.0, -1.0)], "k string, top_a int, top_b int, p_logs array<double>, q_logs array<double>, logp_a double, logp_b double")
+    s = advantage.parity(positions, ["k"]).first()
+    assert (s.positions, s.top1_agreement, s.max_token_gap) == (2, 0.5, 0.5) and abs(s.max_kl - 0.25 * math.log(2)) < 1e-9
+    top = spark.createDataFrame([({1: -1.0, 2: -0.5, 3: -1.0},)], "m map<int,double>").select(advantage.top_ranked(F.col("m"), 2).alias("t")).first().t
+    assert [(t.id, t.logp) for t in top] == [(2, -0.5), (1, -1.0)]
+    weighted = advantage.weighted_metrics(spark.createDataFrame([("k", 1.0, 2.0), ("k", 3.0, 4.0), ("z", 0.0, 1.0)], "k string, w double, v double"), ["k"], "w", ["v"])
+    assert {(r.k, r.v) for r in weighted.collect()} == {("k", 3.5), ("z", None)}
+    assert {(r.db_id, r.chars) for r in prompts.schema_sizes(spark.createDataFrame([("d", "abc")], "db_id string, schema_text string")).collect()} == {("d", 3)}
+    prompts.check_splits(["dev"], "train")
+    for bad in (["train"], ["none"]):
+        with pytest.raises(ValueError, match="split"):
+            prompts.check_splits(bad, "train")
