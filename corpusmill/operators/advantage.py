@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import side_by_side
 
 def group_moments(rows: DataFrame, group: str = "group_id", reward: str = "reward") -> DataFrame:
     """(group, n, mean, std, low, high) of each group's rewards; population deviation. Partial sums are combined on the map side."""
@@ -30,7 +31,7 @@ def advantage_stats(rows: DataFrame, norm: str = "std", group: str = "group_id",
     r6 = lambda c, name: F.round(c, 6).alias(name)
     rewards = rows.agg(F.count(reward).alias("samples"), r6(F.avg(reward), "reward_mean"), r6(F.stddev_pop(reward), "reward_std"))
     used = advantages(rows, norm, group, reward).agg(F.count("advantage").alias("used"), r6(F.avg("advantage") + 0.0, "adv_mean"), r6(F.stddev_pop("advantage"), "adv_std"), r6(F.min("advantage"), "adv_min"), r6(F.max("advantage"), "adv_max"))
-    return rewards.join(groups).join(used)  # one row each
+    return side_by_side(rewards, groups, used)
 
 
 def group_sizes(rows: DataFrame, group: str = "group_id") -> DataFrame:

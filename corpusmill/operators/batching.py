@@ -190,9 +190,10 @@ def evictions(entries: DataFrame, free: int, need: int, reserve: int, keep: list
     result is counted by enough().
     """
     rows = entries.filter(~F.col(key).isin(*(keep or [])))
-    span = rows.agg(F.min(used).cast("double").alias("lo"), F.max(used).cast("double").alias("hi"))
-    placed = rows.join(F.broadcast(span)).withColumn("_p", F.when(F.col("hi") > F.col("lo"), (F.col(used).cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0) * 0.999999)  # one row
-    summed = grouped_rank(placed, [], F.col(key), weight=size, position=F.col("_p"))
+    low, high = rows.agg(F.min(used).cast("double"), F.max(used).cast("double")).first()
+    place = (F.col(used).cast("double") - F.lit(low)) / F.lit(high - low) * 0.999999 if low is not None and high > low else F.lit(0.0)
+    placed = rows.withColumn("_place", place)
+    summed = grouped_rank(placed, [], F.col(key), weight=size, position=F.col("_place"))
     return summed.filter(F.lit(free) + F.col("before") - need < reserve).select(key, size)
 
 

@@ -127,6 +127,15 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, quantiles: list[fl
     return upto.filter((F.col("_cum") > F.col("_at")) & (F.col("_cum") - F.col("_c") <= F.col("_at"))).select(*group, "quantile", value)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row results with different columns as one row, without a cross join: their union, then the greatest value of each column."""
+    names = [c for r in rows for c in r.columns]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in names])
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import answer_key
 from ..functions.text import has_reasoning_markup, normalize_response, normalize_sql, strip_sample
-from .metrics import is_correct
+from .metrics import is_correct, side_by_side
 
 
 def generations_once(generations: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def selection_counts(graded: DataFrame, generations: DataFrame, cap: int = 2) ->
         F.count_if(F.col("markup") & ~F.col("truncated") & ~F.col("outside")).alias("dropped_markup"),
     )
     total = graded.agg(F.count(F.lit(1)).alias("graded_rows"))
-    return total.join(first).join(status)  # one row each
+    return side_by_side(total, first, status)
 
 
 def seeded_key(seed: int, *keys: Column) -> Column:
@@ -140,7 +140,7 @@ def group_counts(graded: DataFrame, generations: DataFrame, samples: int = 4) ->
     total = graded.agg(F.countDistinct("id").alias("groups"))
     sized = rollouts(graded, generations, samples).agg(F.countDistinct("id").alias("groups_sized"))
     mixed = mixed_groups(graded, generations, samples).agg(F.count(F.lit(1)).alias("groups_mixed"), F.coalesce(F.sum("members"), F.lit(0)).alias("records"), F.round(F.sum(F.col("reward_mean") * F.col("members")) / F.sum("members"), 6).alias("reward_mean"))
-    return total.join(sized).join(mixed)  # one row each
+    return side_by_side(total, sized, mixed)
 
 
 def first_failed(graded: DataFrame) -> DataFrame:
