@@ -9,7 +9,7 @@ hash order of the documents, and a source's last ones so that its tokens miss th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import grouped_rank
@@ -127,6 +127,6 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_copies): what each target source contributes to the mixture."""
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeat").filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count_if(F.col("copies") > 0).alias("documents"), F.max("copies").alias("most_copies"))
-    total = used.agg(F.sum("tokens").alias("total"))
-    joined = goals.join(used, "source", "left").join(F.broadcast(total))  # one row
+    total = F.sum("tokens").over(Window.partitionBy())  # over one row a target
+    joined = goals.join(used, "source", "left").withColumn("total", total)
     return joined.select("source", "target_share", F.when(F.col("total") > 0, F.coalesce("tokens", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeat")
