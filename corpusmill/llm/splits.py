@@ -129,31 +129,41 @@ def solve_flow(supply: list[tuple[int, int]], strata: int, shares: list[float])
 def allocate(bundles: list[tuple[int, int, int, int]], shares: list[float]) -> list[list[int]]:
     """Whole components of each bundle for each split. bundles: (stratum, size, components, items), any order.
 
-    The flow is rounded down to whole components; what is left goes, largest components first, to the split that is
-    furthest below its quota, in the component's stratum when splits tie.
+    Components larger than a quarter of the smallest quota go first, largest first, to the split with the most room, so that no
+    small split consists of one source. The flow shares out the others under what is left of the quotas and is rounded down to
+    whole components; what is left of it goes, largest components first, to the split that is furthest below its quota, in the
+    component's stratum when splits tie.
     """
     strata = max((b[0] for b in bundles), default=-1) + 1
-    flow = solve_flow([(g, units) for g, _, _, units in bundles], strata, shares)
     total = sum(b[3] for b in bundles)
     filled = [0.0] * len(shares)
     in_stratum = [[0.0] * len(shares) for _ in range(strata)]
     by_stratum = [sum(b[3] for b in bundles if b[0] == g) for g in range(strata)]
-    counts = []
-    for (g, _, number, units), row in zip(bundles, flow, strict=True):
-        mean = units / number if number else 0
-        whole = [min(number, int(x / mean + 1e-9)) if mean else 0 for x in row]
-        counts.append(whole)
-        for j, n in enumerate(whole):
-            filled[j] += n * mean
-            in_stratum[g][j] += n * mean
+    means = [b[3] / b[2] if b[2] else 0 for b in bundles]
+    counts = [[0] * len(shares) for _ in bundles]
+
+    def put(i: int, j: int, n: int) -> None:
+        counts[i][j] += n
+        filled[j] += n * means[i]
+        in_stratum[bundles[i][0]][j] += n * means[i]
+
+    large = [i for i in range(len(bundles)) if means[i] > 0.25 * total * min(shares)]
+    for i in sorted(large, key=lambda i: (-means[i], bundles[i])):
+        for _ in range(bundles[i][2]):
+            put(i, max(range(len(shares)), key=lambda j: (total * shares[j] - filled[j], -j)), 1)
+    small = [i for i in range(len(bundles)) if means[i] <= 0.25 * total * min(shares)]
+    room = [max(0.0, total * s - f) for s, f in zip(shares, filled, strict=True)]
+    if small and sum(room):
+        flow = solve_flow([(bundles[i][0], bundles[i][3]) for i in small], strata, [r / sum(room) for r in room])
+        for i, row in zip(small, flow, strict=True):
+            for j, x in enumerate(row):
+                put(i, j, min(bundles[i][2] - sum(counts[i]), int(x / means[i] + 1e-9)) if means[i] else 0)
     for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i][1], bundles[i])):
         g, _, number, units = bundles[i]
         mean = units / number if number else 0
         for _ in range(number - sum(counts[i])):
             j = max(range(len(shares)), key=lambda j: (round(min(total * shares[j] - filled[j], mean), 6), round(total * shares[j] - filled[j], 6), by_stratum[g] * shares[j] - in_stratum[g][j], -j))
-            counts[i][j] += 1
-            filled[j] += mean
-            in_stratum[g][j] += mean
+            put(i, j, 1)
     return repair(bundles, shares, counts)
 
 

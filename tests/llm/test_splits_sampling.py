@@ -67,6 +67,12 @@ def test_flow():
     assert [round(x) for x in flow[0]] == [80, 10, 10] and [round(x) for x in flow[1]] == [40, 5, 5]
     counts = splits.allocate([(0, 140, 1, 140), (0, 1, 860, 860)], [0.8, 0.1, 0.1])
     assert counts == [[1, 0, 0], [660, 100, 100]]
+    # one source larger than a small split's quota must not become that split
+    bundles = [(0, 1500, 1, 1500), (0, 10, 650, 6500), (1, 1, 2000, 2000)]
+    for row in (counts := splits.allocate(bundles, [0.8, 0.1, 0.1]))[1:]:
+        assert min(row) > 0
+    assert counts[0] == [1, 0, 0] and [sum(c[j] * b[1] for c, b in zip(counts, bundles, strict=True)) for j in range(3)] == [8000, 1000, 1000]
+    assert splits.allocate([], [0.8, 0.1, 0.1]) == []
 
 
 def test_sample(spark):
