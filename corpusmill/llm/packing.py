@@ -1,14 +1,15 @@
 """Filling fixed-capacity containers with items.
 
-The lengths' histogram (at most capacity rows) goes to the driver. There a configuration linear program is solved by
-multiplicative weights: the lengths carry weights, the best configuration for the weights is priced by a knapsack dynamic
-program, and the weights of the lengths it covers fall. The rounded-down program gives most containers, the rest of the
-histogram is filled largest first. The plan names for each length which ranks go to which containers; documents get
+The lengths' histogram (at most capacity rows) goes to the driver. There a configuration program is covered by
+multiplicative weights: the lengths carry weights, the best configuration for the weights is priced over all lengths by a
+bounded knapsack, is used in whole containers, and the weights of the lengths it covers fall, until all are covered. Where its
+configurations waste room, filling largest first takes over if that needs fewer containers. The plan names for each length which ranks go to which containers; documents get
 their rank inside their length and look their container up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,81 +24,108 @@ from .tokens import TOKENIZER, count_tokens
 CAPACITY = 2048
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int, priced: int = 192) -> np.ndarray:
-    """How many of each size the most valuable container holds (knapsack over the capacity, each size up to its limit).
+def best_configuration(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int, core: int = 192) -> np.ndarray:
+    """How many of each size the most valuable container holds (bounded knapsack: no size more often than its limit).
 
-    The program prices the sizes with the most value for their length, as many as priced; a container rarely gains from others.
+    The program runs over a core of the densest sizes first. A size outside can better its result only if its value and the
+    fractional knapsack of the room beside it are worth more; the sizes that pass this bound join and the program runs again,
+    so the result is the best over all sizes. Of equally dense sizes the core takes some of each range.
     """
+    copies = np.minimum(limits, capacity // sizes)
+    some = np.flatnonzero((copies > 0) & (values > 0))
+    counts = np.zeros(len(sizes), dtype=np.int64)
+    if not len(some):
+        return counts
+    density = values[some] / sizes[some]
+    spread = np.arange(len(some)) * 0x9E3779B1 % (1 << 32)
+    order = some[np.lexsort((spread, -np.round(density * capacity / density.max(), 9)))]
+    room = np.concatenate(([0], np.cumsum(sizes[order] * copies[order])))
+    worth = np.concatenate(([0.0], np.cumsum(values[order] * copies[order])))
+    inside = order[:core]
+    best, value = _knapsack(sizes, values, copies, inside, capacity)
+    if len(order) > len(inside) and value < np.interp(capacity, room, worth) - 1e-9 * value:
+        rest = order[core:]
+        bound = values[rest] + np.interp(capacity - sizes[rest], room, worth)
+        more = rest[bound > value * (1 + 1e-9)]
+        if len(more):
+            best, value = _knapsack(sizes, values, copies, np.concatenate((inside, more)), capacity)
+    return best
+
+
+def _knapsack(sizes: np.ndarray, values: np.ndarray, copies: np.ndarray, among: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(how many of each size, value) of the best container of the sizes among; copies are bundled in powers of two, larger sizes first."""
+    bundles: list[tuple[int, int]] = []
+    for i in among[np.argsort(-sizes[among], kind="stable")].tolist():
+        n, k = int(copies[i]), 1
+        while n > 0:
+            bundles.append((i, min(k, n)))
+            n, k = n - k, 2 * k
     value = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, dtype=np.int64)
-    dense = np.argsort(-values / sizes, kind="stable")[:priced]
-    order = dense[np.argsort(sizes[dense], kind="stable")]
-    small, worth = sizes[order], values[order]
-    for c in range(1, capacity + 1):
-        fit = int(np.searchsorted(small, c, side="right"))
-        value[c], last[c] = value[c - 1], -2
-        if fit:
-            gain = value[c - small[:fit]] + worth[:fit]
-            at = int(np.argmax(gain))
-            if gain[at] > value[c]:
-                value[c], last[c] = gain[at], order[at]
+    taken = np.zeros((len(bundles), capacity + 1), dtype=bool)
+    for row, (i, k) in zip(taken, bundles, strict=True):
+        s = k * int(sizes[i])
+        gain = value[:-s] + k * values[i]
+        np.greater(gain, value[s:] + 1e-12, out=row[s:])
+        value[s:] = np.where(row[s:], gain, value[s:])
     counts = np.zeros(len(sizes), dtype=np.int64)
     c = capacity
-    while c > 0 and last[c] != -1:
-        if last[c] == -2:
-            c -= 1
-            continue
-        counts[last[c]] += 1
-        c -= int(sizes[last[c]])
-    return np.minimum(counts, limits)
-
-
-def multiplicative_weights(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(configurations, amounts): a fractional cover of the histogram. Each round uses a configuration as often as its scarcest size
-    allows in proportion, and lowers the weights of what it covered."""
+    for j in range(len(bundles) - 1, -1, -1):
+        if taken[j, c]:
+            i, k = bundles[j]
+            counts[i] += k
+            c -= k * int(sizes[i])
+    return counts, float(value[capacity])
+
+
+def multiplicative_weights(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.5) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """(configurations and how many containers of each, lower bound): a cover of the histogram and what its weights prove.
+
+    Each round prices the best configuration of what is left, uses it as often as that allows in whole containers, and lowers the
+    weights of what it covered. Rounds end when the histogram is covered; rounds caps them. Weights over the price of the best
+    configuration solve the dual program, so their sum over all items is a lower bound of the containers of any plan; it is
+    taken at the start (where it is the size bound) and at every 64th round.
+    """
     weight = sizes / capacity
-    covered = np.zeros(len(sizes))
-    configs: list[np.ndarray] = []
-    amounts: list[float] = []
-    for _ in range(rounds):
-        config = best_configuration(sizes, weight, counts, capacity)
+    left = counts.copy()
+    out: list[tuple[np.ndarray, int]] = []
+    bound = -(-int(sizes @ counts) // capacity)
+    while left.any() and (rounds is None or len(out) < rounds):
+        config = best_configuration(sizes, weight, left, capacity)
         used = config > 0
-        if not used.any():
-            break
-        amount = float((counts[used] / config[used]).min())
-        configs.append(config)
-        amounts.append(amount)
-        covered[used] += amount * config[used]
-        weight = weight * np.exp(-rate * np.where(used, amount * config / counts, 0.0))
-        weight = np.maximum(weight, 1e-12 * sizes / capacity)
-    return np.array(configs).reshape(len(configs), len(sizes)), np.array(amounts)
-
-
-def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY, rounds: int = 120) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Containers as (sizes, how many of each, how many such containers). histogram: (size, items), sizes from 1 to capacity.
-
-    The fractional cover is thinned to what is left of each size and rounded down; the rest is filled largest first over
-    the histogram, so the work depends on the capacity and not on the number of items.
+        times = int((left[used] // config[used]).min())
+        left[used] -= times * config[used]
+        out.append((config, times))
+        weight[used] *= np.exp(-rate * times * config[used] / counts[used])
+        if len(out) % 64 == 0:
+            price = float(weight @ best_configuration(sizes, weight, counts, capacity))
+            bound = max(bound, math.ceil(float(weight @ counts) / price - 1e-6))
+    return out, bound
+
+
+def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Containers as (sizes, how many of each, how many such containers). histogram: (size, items), sizes from 1 to capacity."""
+    return planned(histogram, capacity, rounds)[0]
+
+
+def planned(histogram: list[tuple[int, int]], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], dict[str, int]]:
+    """(plan, report): report counts the containers of the program and of the filling, and has the lower bound.
+
+    From the first configuration with over 1 % waste on, the rest of the histogram is also filled largest first; so is the
+    whole histogram. The plan with the fewest containers is taken, with the most from the program among equals. The work depends on the
+    capacity and not on the number of items.
     """
     if not histogram:
-        return []
+        return [], {"program": 0, "filled": 0, "bound": 0}
     sizes, counts = (np.array(x, dtype=np.int64) for x in zip(*sorted(histogram), strict=True))
-    left = counts.copy()
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    configs, amounts = multiplicative_weights(sizes, counts, capacity, rounds)
-    if len(configs):
-        cover = (configs * amounts[:, None]).sum(0)
-        scale = float((counts / np.maximum(cover, 1e-12))[cover > 0].min()) if (cover > counts).any() else 1.0
-        waste = capacity - configs @ sizes
-        for i in np.lexsort((-amounts, waste)):
-            used = configs[i] > 0
-            if waste[i] > capacity * 0.01:
-                continue
-            times = int(min(max(amounts[i] * scale, amounts[i]), float((left[used] // configs[i][used]).min())))
-            if times > 0:
-                left[used] -= times * configs[i][used]
-                out.append((sizes[used], configs[i][used], times))
-    return out + fill(sizes, left, capacity)
+    cover, bound = multiplicative_weights(sizes, counts, capacity, rounds)
+    first = next((i for i, (config, _) in enumerate(cover) if capacity - config @ sizes > capacity * 0.01), len(cover))
+    options = []
+    for n in sorted({len(cover), first, 0}, reverse=True):
+        rest = counts - sum((times * config for config, times in cover[:n]), np.zeros_like(counts))
+        filled = fill(sizes, rest, capacity)
+        options.append((n, sum(times for _, times in cover[:n]), sum(x[2] for x in filled), filled))
+    n, program, more, filled = min(options, key=lambda o: o[1] + o[2])
+    return [(sizes[c > 0], c[c > 0], times) for c, times in cover[:n]] + filled, {"program": program, "filled": more, "bound": bound}
 
 
 def fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:

@@ -39,6 +39,36 @@ def test_best_configuration():
     assert list(packing.best_configuration(sizes, values, np.array([9, 9, 9]), 10)) == [0, 2, 0]
 
 
+def test_best_configuration_is_bounded_and_prices_all_sizes():
+    sizes = np.arange(1, 401)
+    config = packing.best_configuration(sizes, sizes / 2048, np.ones(400, dtype=np.int64), 2048)
+    assert config.max() == 1 and config @ sizes == 2048
+    values = sizes / 2048
+    values[300:] *= 0.999  # the densest sizes come first, but only one of the others closes the container
+    assert packing.best_configuration(sizes, values, (sizes >= 205) * 1, 900) @ sizes == 900
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = np.sort(rng.choice(np.arange(1, 40), 8, replace=False))
+        values, limits = rng.random(8), rng.integers(0, 3, 8)
+        best = max(float(values @ c) for c in np.ndindex(*(limits + 1)) if np.array(c) @ sizes <= 60)
+        config = packing.best_configuration(sizes, values, limits, 60, core=2)
+        assert (config <= limits).all() and config @ sizes <= 60 and abs(values @ config - best) < 1e-9
+
+
+def test_program_covers_more_lengths_than_the_core():
+    rng = np.random.default_rng(1)
+    sizes, counts = np.unique(rng.integers(300, 1000, 3000), return_counts=True)
+    plan, report = packing.planned(list(zip(sizes.tolist(), counts.tolist(), strict=True)))
+    used = {}
+    for s, config, times in plan:
+        assert int(s @ config) <= packing.CAPACITY
+        for a, b in zip(s.tolist(), config.tolist(), strict=True):
+            used[a] = used.get(a, 0) + b * times
+    assert used == dict(zip(sizes.tolist(), counts.tolist(), strict=True)) and len(sizes) > 192
+    total = sum(times for *_, times in plan)
+    assert total == report["program"] + report["filled"] and report["bound"] <= total <= 1.005 * report["bound"] and report["program"] > 0.9 * total
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("word" for _ in range(rng.choice([1, 5, 40, 90, 130, 300]))), "en", "a", 1) for i in range(200)] + [(900, None, None, None, 1), (901, "", None, None, 1)]
