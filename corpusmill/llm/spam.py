@@ -40,6 +40,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CODE = re.compile(r"^\s*(?:select|from|where|and|or|inner|left|join|group|order|having|limit|insert|create|update|delete|with|on|values|set)\b.*|.*\bselect\b.*\bfrom\b.*", re.I | re.S)
 _BARS = re.compile(r"\s*[|·•»›>/]\s+|\s+[-–—:~]\s+")
 _SIGNS = re.compile(r"[.!?:;=|]|\d{3}")
+_LABELLED = re.compile(r"^[\s*\-•]*([\w \-]{1,40}):\s")
 _ALL = frozenset().union(*FUNCTION_WORDS.values()) - {"a", "i", "e", "o", "me", "us"}
 _SETS = {k: v for k, v in FUNCTION_WORDS.items()}
 
@@ -88,6 +89,41 @@ def _sentence(words: list[str], text: str, known: frozenset[str]) -> bool:
     return len(set(functions)) >= 3 and len(functions) >= 0.25 * len(words)
 
 
+def _stuffed(sentences: list[list[str]], known: frozenset[str]) -> tuple[set[str], set[str]]:
+    """The repeated keywords of a page's sentences: (words said twice within a sentence, in two sentences at least; words said over and over on the page).
+
+    A sentence of 60 words or more counts as two for a word that makes 6 % of it, and says it five times. Over the page a word counts
+    that makes a tenth of all words, or both words of a pair that makes a sixth and stands in three different sentences; either has to
+    come five times.
+    """
+    content = lambda x: x not in known and x not in _ALL and len(x) > 2
+    twice: Counter[str] = Counter()
+    for w in sentences:
+        if len(set(w)) < len(w):
+            for x, n in Counter(w).items():
+                if n >= 2 and content(x):
+                    if len(w) < 60:
+                        twice[x] += 1
+                    elif n >= max(5, 0.06 * len(w)):
+                        twice[x] += 2
+    singles = Counter(x for w in sentences for x in w)
+    total = singles.total()
+    often = {x for x, n in singles.items() if n >= max(5, total / 12) and content(x)}  # a pair can't come more often than its words
+    over = {x for x in often if singles[x] >= 0.1 * total}
+    if len(often) > 1:
+        pairs = Counter(p for w in sentences for p in zip(w, w[1:], strict=False) if p[0] in often and p[1] in often and p[0] != p[1])
+        for pair, n in pairs.items():
+            if n >= max(5, total / 12) and len({tuple(w) for w in sentences if pair in zip(w, w[1:], strict=False)}) >= 3:
+                over.update(pair)
+    return {x for x, n in twice.items() if n >= 2}, over
+
+
+def _explains(text: str, over: set[str]) -> bool:
+    """Whether a sentence stands behind a name that is none of the repeated words, as in a list of columns."""
+    label = _LABELLED.match(text)
+    return bool(label) and not any(x in over for x in _WORD.findall(label[1].lower()))
+
+
 def page(text: str | None) -> tuple[float, float, float, float, float, float, float, int]:
     """The six features of a page, the share of its words in spam segments, and its words. A link or tag counts as one word; null and empty texts are all zero."""
     text = text or ""
@@ -127,17 +163,12 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
     if not total:
         return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0
     words = [w for s in segments for w in s[0]]
-    twice: Counter[str] = Counter()
     plain: list[bool] = []
     code = [bool(_CODE.match(s[3])) and any(c in s[3] for c in "=<>(*;") for s in segments]
     for (w, _, tags, clean), is_code in zip(segments, code, strict=True):
         sentence = not is_code and tags <= 0.3 * len(w) and (_sentence(w, clean, known) or any(_sentence(w, clean, other) for other in _SETS.values() if other is not known))
         plain.append(sentence)
-        if sentence and len(w) < 60 and len(set(w)) < len(w):
-            for x, n in Counter(w).items():
-                if n >= 2 and x not in known and x not in _ALL and len(x) > 2:
-                    twice[x] += 1
-    stuffed = {x for x, n in twice.items() if n >= 2}
+    stuffed, over = _stuffed([s[0] for s, sentence in zip(segments, plain, strict=True) if sentence], known)
     menu = _menus(segments, plain, code)
     loose: Counter[str] = Counter()
     for (w, *_), sentence, is_code in zip(segments, plain, code, strict=True):
@@ -146,11 +177,11 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
     n_loose = sum(loose.values())
     repeated = {x for x, n in loose.items() if n >= 3} if n_loose and len(loose) <= 0.6 * n_loose else set()
     listed = spam = 0
-    for (w, urls, tags, _), sentence, is_code, is_menu in zip(segments, plain, code, menu, strict=True):
+    for (w, urls, tags, clean), sentence, is_code, is_menu in zip(segments, plain, code, menu, strict=True):
         size = len(w) + urls + tags
         if sentence:
             keys = sum(x in stuffed for x in w)
-            if stuffed and keys >= 0.25 * len(w):
+            if stuffed and keys >= 0.25 * len(w) or over and sum(x in over for x in w) >= 0.35 * len(w) and not _explains(clean, over):
                 spam += size
             elif tags:
                 spam += tags

@@ -155,3 +155,27 @@ def test_spam_pages(spark):
     assert {r.doc_id for r in spam.spam_pages(docs).collect()} == {r[0] for r in bad}
     assert spam.spam_pages(docs.limit(0)).count() == 0
     assert spam.spam_pages(docs.filter("text is null")).count() == 0
+
+
+CITIES = "Rome Milan Turin Naples Genoa Bari Pisa Siena Parma Como Lecce Trento".split()
+STUFFED = [
+    "the ledger for the software and the ledger of the software with an invoice or the ledger in our software that is a ledger for all the software " * 4 + ".",
+    " ".join(f"Buy ledger software in {c}." for c in CITIES),
+    " ".join(f"You can get the best ledger software here in {c}." for c in CITIES),
+    " ".join(f"Buy ledger software in {c}." for c in CITIES * 2) + "\n" + PROSE * 3,
+]
+COLUMNS = ["width", "height", "depth", "length", "radius", "girth", "reach", "drop"]
+REPEATING = [
+    "\n".join(f"{w}: The {w} of the room in metres." for w in COLUMNS),
+    "\n".join(f"{w}: room {w} in metres." for w in COLUMNS),
+    "\n".join(f"- The {w} of a record may be null before the import, so check it." for w in COLUMNS),
+    "The ledger holds each entry of the month and the clerk checks it. When an entry is missing, the ledger is opened again and the auditor signs it. A second copy of the ledger stays in the archive. Nobody may change the ledger without a note. The office prints a report about the ledger. ",
+    "We saw that " + "the court held that the contract was void and that the defendant who signed it knew of the defect when the goods were sold to a third person in another town, so that the claim for damages could not stand although the appeal was late, " * 3 + "as we said.",
+]
+
+
+def test_keywords_in_long_and_short_sentences(spark):
+    assert all(spam.page(t)[6] > 0.5 for t in STUFFED) and all(spam.page(t)[6] <= 0.4 for t in REPEATING)
+    fine = [(i, PROSE * (2 + i % 5) + FINE[6 + i % 2], "en", "s", 1) for i in range(100)] + [(200 + k, t, "en", "s", 1) for k, t in enumerate(REPEATING)]
+    docs = spark.createDataFrame(fine + [(500 + k, t, "en", "s", 1) for k, t in enumerate(STUFFED)], DOCS)
+    assert {r.doc_id for r in spam.spam_pages(docs).collect()} == {500 + k for k in range(len(STUFFED))}
