@@ -1,9 +1,12 @@
 """Keyword-stuffed and link-list pages.
 
 Each page gets features of density, entropy, repetition and function words. For each language the features' medians and
-median deviations (over all pages) and the correlations of the deviations, clipped, give a robust Mahalanobis distance;
-pages far out in a spam-directed direction are candidates. A candidate is spam when more than half of its words stand in
-lists of links, tags, menu entries or repeated keywords (exact check on the page's segments).
+median deviations and the correlations of the deviations, clipped, give a robust Mahalanobis distance. A page is spam when
+more than half of its words stand in lists of links, tags, menu entries or repeated keywords (exact check on the page's
+segments). Under a tag of another language the exact check may not know the function words; there a page also has to be far
+out in a spam-directed direction. The model is fitted to the pages that the exact check doesn't take, so that a language
+that is mostly spam isn't its own measure; other languages, where that check isn't sure, are fitted to all their pages unless these lie
+spam-ward in what needs no function words.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CODE = re.compile(r"^\s*(?:select|from|where|and|or|inner|left|join|group|order|having|limit|insert|create|update|delete|with|on|values|set)\b.*|.*\bselect\b.*\bfrom\b.*", re.I | re.S)
 _BARS = re.compile(r"\s*[|·•»›>/]\s+|\s+[-–—:~]\s+")
 _SIGNS = re.compile(r"[.!?:;=|]|\d{3}")
+#: Features that need no function words.
+FREE = ("links", "repetition", "entropy", "keyword")
 _LABELLED = re.compile(r"^[\s*\-•]*([\w \-]{1,40}):\s")
 _ALL = frozenset().union(*FUNCTION_WORDS.values()) - {"a", "i", "e", "o", "me", "us"}
 _SETS = {k: v for k, v in FUNCTION_WORDS.items()}
@@ -218,13 +223,15 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def robust_model(feats: DataFrame, least: int = 50) -> dict[str, tuple[list[float], list[float], np.ndarray]]:
-    """Medians, scales and inverse correlation of each language over all its pages with words; a language with few pages takes those of all.
+    """Medians, scales and inverse correlation of each language over its pages with words that aren't spam; a language with few such pages takes those of all.
 
-    Two passes of grouped aggregates; to the driver go one row for each language and for all.
+    'other' is fitted to all its pages. If their medians lie spam-ward of those of all languages in the features that need no function
+    words (by more than a scale on average), its pages are mostly spam and it takes those of all. Two passes of grouped aggregates; to the
+    driver go one row for each language and for all.
     """
     some = feats.filter("words > 0")
     names = list(FEATURES)
-    each = some.withColumn("g", F.explode(F.array(F.col("lang"), F.lit("all"))))
+    each = some.withColumn("g", F.explode(F.array(F.col("lang"), F.lit("all")))).filter("spam <= 0.5 or g = 'other'")
     centre = {r["g"]: r for r in each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 10000).alias(f) for f in names]).collect()}
     if not centre:
         return {}
@@ -237,7 +244,9 @@ def robust_model(feats: DataFrame, least: int = 50) -> dict[str, tuple[list[floa
     moments = {r["g"]: r for r in z.groupBy("g").agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect()}
     model = {}
     for g, c in centre.items():
-        source = g if c["n"] >= least else "all"
+        source = g if c["n"] >= least or "all" not in centre else "all"
+        if g == "other" and "all" in centre and sum(FEATURES[f] * (float(c[f] or 0.0) - float(centre["all"][f] or 0.0)) / scale["all"][f] for f in FREE) > len(FREE):
+            source = "all"
         m = np.zeros((len(names), len(names)))
         for a, b in pairs:
             i, j = names.index(a), names.index(b)
@@ -263,7 +272,9 @@ def outliers(feats: DataFrame) -> DataFrame:
         signs = np.array([FEATURES[f] for f in names], dtype=float)
         for g in set(lang):
             at = (lang == g).to_numpy()
-            centre, scale, inverse = model.get(g, model["all"])
+            if g not in model and "all" not in model:  # no page of a known language that isn't spam to measure by
+                continue
+            centre, scale, inverse = model.get(g) or model["all"]
             z = (x[at] - np.array(centre)) / np.array(scale)
             distance[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
             direction[at] = (z * signs).mean(1)
@@ -273,6 +284,7 @@ def outliers(feats: DataFrame) -> DataFrame:
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, distance, direction, spam): outliers in the spam direction of which more than half of the words are spam. Pages without words are none."""
+    """(doc_id, lang, distance, direction, spam): pages of which more than half of the words are spam, under tags of other languages only outliers in the spam direction. Pages without words are none."""
     scored = outliers(cut_lineage(features(documents)))
-    return scored.filter((F.col("words") > 0) & (F.col("distance") > DISTANCE) & (F.col("direction") > 0) & (F.col("spam") > 0.5)).select("doc_id", "lang", "distance", "direction", "spam")
+    outlier = (F.col("distance") > DISTANCE) & (F.col("direction") > 0)
+    return scored.filter((F.col("words") > 0) & (F.col("spam") > 0.5) & ((F.col("lang") != "other") | outlier)).select("doc_id", "lang", "distance", "direction", "spam")

@@ -179,3 +179,21 @@ def test_keywords_in_long_and_short_sentences(spark):
     fine = [(i, PROSE * (2 + i % 5) + FINE[6 + i % 2], "en", "s", 1) for i in range(100)] + [(200 + k, t, "en", "s", 1) for k, t in enumerate(REPEATING)]
     docs = spark.createDataFrame(fine + [(500 + k, t, "en", "s", 1) for k, t in enumerate(STUFFED)], DOCS)
     assert {r.doc_id for r in spam.spam_pages(docs).collect()} == {500 + k for k in range(len(STUFFED))}
+
+
+SWEDISH = "Kommittén godkände avtalet efter det tredje mötet och ingen väntade sig att priset skulle ändras så mycket. Rapporten skrevs av {} och den visar att kostnaden steg medan intäkten låg kvar på samma nivå som året innan. "
+
+
+def test_languages_that_are_mostly_spam(spark):
+    """German, and other tags, have more spam of one form than prose; of all pages it is a third."""
+    fine = [(i, PROSE * (2 + i % 5), "en", "s", 1) for i in range(400)] + [(400 + i, FINE[7] * (1 + i % 3), "de", "s", 1) for i in range(40)]
+    bad = [(1000 + i, SPAM[8] * (1 + i % 3), "de", "s", 1) for i in range(120)] + [(2000 + i, SPAM[0] * (1 + i % 3), "sv", "s", 1) for i in range(120)]
+    docs = spark.createDataFrame(fine + bad, DOCS)
+    assert {r.doc_id for r in spam.spam_pages(docs).collect()} == {r[0] for r in bad}
+    assert {r.doc_id for r in spam.spam_pages(docs.filter("doc_id between 1000 and 1999")).collect()} == set(range(1000, 1120))
+
+
+def test_prose_of_unknown_languages(spark):
+    swedish = [(i, "".join(SWEDISH.format(n) for n in ("Anna", "Erik", "Karin")[: 1 + i % 3]), "sv", "s", 1) for i in range(120)]
+    docs = spark.createDataFrame(swedish + [(500 + i, PROSE * (2 + i % 5), "en", "s", 1) for i in range(200)], DOCS)
+    assert spam.spam_pages(docs).count() == 0
