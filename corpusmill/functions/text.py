@@ -38,9 +38,15 @@ def word_ngrams(c: Column, n: int = 13) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def digest128(*columns: Column) -> list[Column]:
+    """128 bits over the columns, as two numbers. xxhash64 takes the hash of the columns before as its seed, so the second number starts
+    with a literal: behind the columns it would be a function of the first number."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
+
+
 def ngram_digests(c: Column, n: int = 13) -> Column:
     """The distinct n-grams of a text as 128-bit digests (two seeds of xxhash64), 16 bytes each in a shuffle."""
-    return F.transform(F.array_distinct(word_ngrams(c, n)), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(g, F.lit("second")).alias("b")))
+    return F.transform(F.array_distinct(word_ngrams(c, n)), lambda g: F.struct(*[h.alias(name) for h, name in zip(digest128(g), "ab", strict=True)]))
 
 
 def after_reasoning(c: Column) -> Column:

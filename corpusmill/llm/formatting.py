@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digest128
 from ..session import cut_lineage
 
 _BLANK = re.compile(r"[\s​-‏⁠﻿­]+")
@@ -123,7 +124,7 @@ def copy_counts(graded: DataFrame) -> DataFrame:
 
 def _digest(*parts: str) -> list[Column]:
     """128 bits over the parts, as two numbers."""
-    return [F.xxhash64(*[F.col(p) for p in parts]), F.xxhash64(*[F.col(p) for p in parts], F.lit("second"))]
+    return digest128(*[F.col(p) for p in parts])
 
 
 def copies(graded: DataFrame) -> DataFrame:

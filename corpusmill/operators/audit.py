@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_digests, normalize_text, question_of, strip_sample
+from ..functions.text import digest128, ngram_digests, normalize_text, question_of, strip_sample
 
 NGRAM = 13
 
@@ -118,5 +118,5 @@ def leaked_ids(records: DataFrame, eval_ids: DataFrame) -> DataFrame:
 def same_text(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(first_id, copies): sets of documents with the same normalised text, more than one; grouped on 128 bits of digest."""
     n = normalize_text(F.col(text))
-    grouped = documents.filter(F.col(text).isNotNull()).select(key, F.xxhash64(n).alias("a"), F.xxhash64(n, F.lit("second")).alias("b")).groupBy("a", "b").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    grouped = documents.filter(F.col(text).isNotNull()).select(key, *[h.alias(name) for h, name in zip(digest128(n), "ab", strict=True)]).groupBy("a", "b").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return grouped.filter("copies > 1").select("first_id", "copies")

@@ -81,3 +81,16 @@ def test_lengths_and_models(spark):
     assert tuple(got) == (16 * 2 + 8 * 2 + 32 * 3, 40, 2 * (8 * 2 + 6 * 2 + 12 * 3), 4)
     merged = spark.createDataFrame([("a", "r", "stop"), (None, "r", "length"), (None, None, "stop")], "c string, r string, f string").select(text.merge_reasoning(F.col("c"), F.col("r"), F.col("f"))).collect()
     assert [r[0] for r in merged] == ["r</think>a", "r", "</think>"]
+
+
+def test_digest_parts_do_not_collide_together(spark):
+    """Two made inputs of 16 bytes with the same xxhash64 (seed 42)."""
+    mask, p1, p2, p4, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    turn = lambda x, n: (x << n | x >> 64 - n) & mask
+    block = lambda x: turn(x * p2 & mask, 31) * p1 & mask
+    state = lambda x: (turn((42 + p5 + 16 & mask) ^ block(x), 27) * p1 + p4) & mask
+    want = state(1) ^ state(2) ^ block(7)
+    other = turn(want * pow(p1, -1, 1 << 64) & mask, 33) * pow(p2, -1, 1 << 64) & mask
+    pairs = [(1).to_bytes(8, "little") + (7).to_bytes(8, "little"), (2).to_bytes(8, "little") + other.to_bytes(8, "little")]
+    rows = spark.createDataFrame([(bytearray(b),) for b in pairs], "x binary").select(*[h.alias(n) for h, n in zip(text.digest128(F.col("x")), "ab", strict=True)], F.xxhash64("x", F.lit("second")).alias("folded")).collect()
+    assert len({r.a for r in rows}) == 1 and len({r.folded for r in rows}) == 1 and len({r.b for r in rows}) == 2
