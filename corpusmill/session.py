@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,6 +20,7 @@ def get_spark(app: str = "corpusmill", cores: str | int = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -29,20 +32,31 @@ def get_spark(app: str = "corpusmill", cores: str | int = "*", partitions: int =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's spark.checkpoint.dir, and a temporary one only where that is unset (local runs, tests)."""
+    """The folder for checkpoints: the session's spark.checkpoint.dir.
+
+    Where that is unset, a run inside one machine (local[...]) gets a temporary folder, which all of its tasks can read; on a cluster an
+    unset folder raises, since the executors of other machines couldn't read a temporary one.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not wanted:
-        wanted = os.path.join(tempfile.gettempdir(), "corpusmill-checkpoints")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
+        wanted = tempfile.mkdtemp(prefix="corpusmill-checkpoints-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     context.setCheckpointDir(wanted)
     return wanted
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; survives the loss of executors."""
+    """Write df to the shared checkpoint folder and go on from there; survives the loss of executors.
+
+    The files go when nothing refers to them any more if the session has spark.cleaner.referenceTracking.cleanCheckpoints (get_spark
+    sets it), and else with the cluster's folder.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
