@@ -87,12 +87,12 @@ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN e
 component AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
 SELECT id, coalesce(c, source) AS group_key FROM items LEFT JOIN component ON source = a WHERE source IS NOT NULL
 """,
-    "p3_sample": f"""
-WITH first AS (SELECT id, min(batch) AS batch FROM records WHERE id IS NOT NULL GROUP BY id),
-numbered AS (SELECT id, batch, CASE WHEN batch IS NOT NULL THEN row_number() OVER (ORDER BY batch NULLS LAST, md5(id), id) - 1 END AS seq FROM first),
+    "p3_sample": rf"""
+WITH named AS (SELECT DISTINCT id, regexp_extract(id, '{sampling.NUMBERED}', 1) AS letters, regexp_extract(id, '{sampling.NUMBERED}', 2) AS number, regexp_extract(id, '{sampling.NUMBERED}', 3) AS sample FROM records WHERE id IS NOT NULL),
+numbered AS (SELECT id, CASE WHEN number <> '' THEN (('0x' || substr(md5(letters), 1, 3))::BIGINT * 256 + coalesce(nullif(sample, '')::BIGINT, 0) % 256) * {sampling.LANE} + number::BIGINT END AS seq FROM named),
 placed AS (SELECT *, CASE WHEN seq IS NOT NULL
     THEN (CAST(seq AS HUGEINT) * {sampling.GOLDEN} % {sampling.UNIT} + {sampling.shift_of("corpusmill")}) % {sampling.UNIT}
     ELSE CAST(('0x' || substr(md5(id), 1, 12))::BIGINT AS HUGEINT) * {sampling.UNIT // (1 << 48)} END AS place FROM numbered)
-SELECT id, batch, seq FROM placed WHERE place < {int(0.05 * sampling.UNIT)}
+SELECT id, seq FROM placed WHERE place < {int(0.05 * sampling.UNIT)}
 """,
 }

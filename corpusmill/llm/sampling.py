@@ -1,17 +1,28 @@
-"""A reproducible sample that stays as data grows: golden-ratio selection over persistent sequence numbers."""
+"""A reproducible sample that stays as data grows: golden-ratio selection over persistent sequence numbers.
+
+A sequence number is mapped to the fractional part of its multiple of the golden ratio, shifted by a seed's fixed amount; the keys
+whose fraction lies in a fixed interval are chosen. Consecutive numbers spread evenly over the unit interval, so every stretch of
+numbers gives its share. A number has to stay for ever: either the key holds it (train-17#s2 was numbered where it was made), or a
+ledger, a table that is only appended to, gives it. Nothing is ranked anew, so rows that come late, go away or come twice
+change nothing for the others.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import hash_bucket
+from ..operators.ranking import buckets_for, grouped_rank
 
 #: Fixed value: the fractional part of the golden ratio in units of 1e-18.
 GOLDEN = 618033988749894848
 UNIT = 10**18
+#: Numbers of one lane (same letters around the number, same sample) lie within a stretch of this length.
+LANE = 10**12
+#: Fixed value: the form of a key that holds its number: anything without '#', up to 12 digits, and perhaps '#s' and a sample of up to six digits.
+NUMBERED = r"^([^#]*?)([0-9]{1,12})(?:#s([0-9]{1,6}))?$"
 
 
 def shift_of(seed: str) -> int:
@@ -25,38 +36,65 @@ def position(seq: Column, shift: int) -> Column:
     return (product.cast("decimal(38,0)") % F.lit(UNIT).cast("decimal(19,0)") + F.lit(shift).cast("decimal(18,0)")).cast("decimal(20,0)") % F.lit(UNIT).cast("decimal(19,0)")
 
 
-def sequence_numbers(df: DataFrame, key: str = "id", batch: str = "batch", buckets: int = 1024) -> DataFrame:
-    """(key, batch, seq): each distinct key numbered by its first delivery, within it by md5 of the key.
+def own_number(key: Column) -> Column:
+    """The sequence number that a key holds: its number, in the lane of its letters and its sample; null for keys of another form.
+
+    There are 4,096 lanes of letters times 256 of samples; keys that meet in a number are chosen together, which harms nothing but the evenness.
+    """
+    text = key.cast("string")
+    number = F.regexp_extract(text, NUMBERED, 2)
+    sample = F.coalesce(F.nullif(F.regexp_extract(text, NUMBERED, 3), F.lit("")).cast("bigint"), F.lit(0))
+    letters = F.conv(F.substring(F.md5(F.regexp_extract(text, NUMBERED, 1)), 1, 3), 16, 10).cast("bigint")
+    lane = letters * 256 + sample % 256
+    return F.when(number != "", lane * F.lit(LANE) + F.nullif(number, F.lit("")).cast("bigint"))
+
+
+def _generations(spark: SparkSession, ledger: str) -> list[str]:
+    """The complete generations of a ledger in order; one that broke off has no _SUCCESS file and doesn't count."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("generation_"))
+    return [f"{ledger.rstrip('/')}/{n}" for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{ledger.rstrip('/')}/{n}/_SUCCESS"))]
 
-    A later delivery only adds numbers behind those given, so a number never changes while deliveries arrive in order. The
-    rows of one delivery are cut into hash buckets and only the counts of (delivery, bucket) are summed up in order. Null keys
-    are left out; keys whose deliveries are all null get a null number.
+
+def ledger_numbers(df: DataFrame, ledger: str, key: str = "id") -> DataFrame:
+    """(key, seq) of the distinct keys of df, by a ledger: a folder that all executors can read, of generations that are only added.
+
+    Keys without a number get the next ones, in the order of their md5, written as one more generation; numbers given are never
+    changed, also not when their keys are gone from df. A run that breaks off leaves a generation that doesn't count and is
+    written anew. One run at a time may add to a ledger. Null keys are left out.
     """
-    first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(batch).alias(batch))
-    keyed = first.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_bucket", hash_bucket(F.col(key), buckets))
-    numbered = keyed.filter(F.col(batch).isNotNull())
-    sizes = numbered.groupBy(batch, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(batch).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    in_batch = sizes.withColumn("_in_batch", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # one row for each delivery
-    deliveries = sizes.groupBy(batch).agg(F.sum("_n").alias("_n"))
-    earlier = Window.orderBy("d_batch").rowsBetween(Window.unboundedPreceding, -1)
-    deliveries = deliveries.select(F.col(batch).alias("d_batch"), "_n").select("d_batch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
-    offsets = in_batch.join(deliveries, in_batch[batch] == deliveries.d_batch).select(F.col(batch).alias("o_batch"), F.col("_bucket").alias("o_bucket"), (F.col("_earlier") + F.col("_in_batch")).alias("_offset"))
-    inside = Window.partitionBy(batch, "_bucket").orderBy("_md5", key)
-    ranked = numbered.withColumn("_r", F.row_number().over(inside) - 1)
-    seq = ranked.join(offsets, (F.col(batch) == F.col("o_batch")) & (F.col("_bucket") == F.col("o_bucket"))).select(key, batch, (F.col("_offset") + F.col("_r")).cast("bigint").alias("seq"))
-    return seq.unionByName(keyed.filter(F.col(batch).isNull()).select(key, batch, F.lit(None).cast("bigint").alias("seq")))
-
-
-def golden_sample(df: DataFrame, share: float = 0.05, key: str = "id", batch: str = "batch", seed: str = "corpusmill") -> DataFrame:
-    """(key, batch, seq) of about share of the distinct keys, the same in every run, order and partitioning.
-
-    A chosen key stays chosen when further deliveries arrive. Keys without a delivery have no number that would last; their
-    position is the hash of the key. An empty table gives no rows.
+    spark = df.sparkSession
+    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_k")).distinct()
+    done = _generations(spark, ledger)
+    if done:
+        known = spark.read.schema("_k string, seq bigint").parquet(*done)
+        fresh, first = keys.join(known, "_k", "left_anti"), known.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+    else:
+        fresh, first = keys, 0
+    n = fresh.count()
+    if n:
+        numbered = grouped_rank(fresh, [], F.col("_k"), buckets=buckets_for(n)).select("_k", (F.col("rank") + first).cast("bigint").alias("seq"))
+        numbered.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/generation_{len(done):06d}")
+        done = _generations(spark, ledger)
+    all_numbers = spark.read.schema("_k string, seq bigint").parquet(*done) if done else spark.createDataFrame([], "_k string, seq bigint")
+    return keys.join(all_numbers, "_k").select(F.col("_k").alias(key), "seq")
+
+
+def golden_sample(df: DataFrame, share: float = 0.05, key: str = "id", ledger: str | None = None, seed: str = "corpusmill") -> DataFrame:
+    """(key, seq) of about share of the distinct keys, the same in every run, order and partitioning.
+
+    With a ledger each key's number comes from there; without, from the key itself, and keys that hold none are placed by their
+    md5 with a null seq (stable, but not as even). A chosen key stays chosen whatever other rows come, go or come twice. Null keys
+    are left out; an empty table gives no rows. Without a ledger rows are chosen before anything is shuffled.
     """
-    shift, width = shift_of(seed), int(share * UNIT)
-    numbered = sequence_numbers(df, key, batch)
+    shift, width = shift_of(seed), F.lit(int(share * UNIT)).cast("decimal(19,0)")
+    if ledger is not None:
+        return ledger_numbers(df, ledger, key).filter(position(F.col("seq"), shift) < width)
+    keyed = df.filter(F.col(key).isNotNull()).select(F.col(key), own_number(F.col(key)).alias("seq"))
     hashed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("decimal(20,0)") * F.lit(UNIT // (1 << 48)).cast("decimal(18,0)")
     place = F.when(F.col("seq").isNotNull(), position(F.col("seq"), shift)).otherwise(hashed)
-    return numbered.filter(place < F.lit(width).cast("decimal(19,0)"))
+    return keyed.filter(place < width).distinct()

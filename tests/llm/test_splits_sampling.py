@@ -76,14 +76,14 @@ def test_flow():
 
 
 def test_sample(spark):
-    rows = [(f"train-{i}#s{i % 4}", i % 10) for i in range(4000)] + [("train-1#s1", 9), (None, 3)] + [(f"late-{i}", None) for i in range(400)]
+    rows = [(f"train-{i}#s{i % 4}", i % 10) for i in range(4000)] + [("train-1#s1", 9), (None, 3)] + [(f"late {c}{d}", None) for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst"]
     df = spark.createDataFrame(rows, "id string, batch int").withColumn("seq", F.lit(1))
     chosen = {r.id: r.seq for r in sampling.golden_sample(df).collect()}
-    assert abs(sum(v is not None for v in chosen.values()) - 200) <= 3 and 5 <= sum(v is None for v in chosen.values()) <= 40
+    assert abs(sum(v is not None for v in chosen.values()) - 200) <= 12 and 5 <= sum(v is None for v in chosen.values()) <= 40
     assert {r.id: r.seq for r in sampling.golden_sample(df.repartition(9).orderBy(F.rand(3))).collect()} == chosen
-    for upto in (0, 4, 8):
-        early = {r.id for r in sampling.golden_sample(df.filter(f"batch <= {upto} or batch is null")).collect()}
-        assert early <= set(chosen)
+    for gone in ("batch <= 4 or batch is null", "batch <> 2", "hash(id) % 3 = 0"):  # deliveries missing, and rows of any delivery
+        kept = df.filter(gone)
+        assert {r.id for r in sampling.golden_sample(kept).collect()} == set(chosen) & {r.id for r in kept.collect()}
     assert sampling.golden_sample(df.limit(0)).count() == 0
     from fractions import Fraction
 
@@ -91,3 +91,27 @@ def test_sample(spark):
     for n, seq in list(chosen.items())[:50]:
         if seq is not None:
             assert Fraction((seq * sampling.GOLDEN + shift) % sampling.UNIT, sampling.UNIT) < Fraction(1, 20), n
+
+
+def test_own_numbers(spark):
+    keys = ["train-17#s2", "train-17", "dev-17", "017", "17#s300", "a#b1", "x", "", "1" * 13, "a" * 9000 + "5", None]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(sampling.own_number(F.col("k"))).collect()]
+    assert got[0] - got[1] == 2 * sampling.LANE and got[1] % sampling.LANE == got[2] % sampling.LANE == 17 and got[1] != got[2]
+    assert got[3] % sampling.LANE == 17 and (got[4] - got[3]) == 300 % 256 * sampling.LANE and got[5:8] == [None] * 3 and got[8] % sampling.LANE == 10**12 // 9 and got[9] % sampling.LANE == 5 and got[10] is None
+
+
+def test_ledger(spark, tmp_path):
+    """Late rows of earlier deliveries, deletions and repeats change no number; a generation that broke off is written anew."""
+    rows = [(f"k{c}", b) for c in range(900) for b in (c % 3,)]
+    df = spark.createDataFrame(rows + [(None, 1), ("k1", 2)], "id string, batch int")
+    ledger = str(tmp_path / "ledger")
+    first = {r.id: r.seq for r in sampling.ledger_numbers(df.filter("batch <> 1 or hash(id) % 2 = 0"), ledger).collect()}
+    (tmp_path / "ledger" / "generation_000001").mkdir()
+    (tmp_path / "ledger" / "generation_000001" / "part-0.parquet").write_bytes(b"broken off")
+    chosen = {r.id for r in sampling.golden_sample(df.filter("batch <> 1 or hash(id) % 2 = 0"), 0.1, ledger=ledger).collect()}
+    later = {r.id: r.seq for r in sampling.ledger_numbers(df.repartition(7), ledger).collect()}
+    assert len(later) == 900 and sorted(later.values()) == list(range(900)) and all(later[k] == v for k, v in first.items()) and len(first) < 900
+    grown = {r.id for r in sampling.golden_sample(df, 0.1, ledger=ledger).collect()}
+    assert chosen <= grown and abs(len(grown) - 90) <= 2
+    assert {r.id for r in sampling.golden_sample(df.filter("batch = 0"), 0.1, ledger=ledger).collect()} == {k for k in grown if int(k[1:]) % 3 == 0}
+    assert sampling.golden_sample(df.limit(0), 0.1, ledger=str(tmp_path / "none")).count() == 0
