@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +53,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; survives the loss of executors.
+    """Write df as a Parquet table in the shared checkpoint folder and go on from there; survives the loss of executors.
 
-    The files go when nothing refers to them any more if the session has spark.cleaner.referenceTracking.cleanCheckpoints (get_spark
-    sets it), and else with the cluster's folder.
+    A table is read again by column and compressed, where a checkpoint is neither. The tables of an application go when it ends; what is
+    left after a crash goes with the cluster's folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/tables"
+    if base not in _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _FOLDERS.add(base)
+    written = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(written)
+    return spark.read.schema(df.schema).parquet(written)
+
+
+_FOLDERS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
