@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, d, "sql_items"), table(spark, d, "records")).select("eval_id", "train_id")
 
 
+def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "sql_items"), table(spark, d, "records"))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "sql_items"), table(spark, d, "records"))
 
@@ -68,7 +72,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p3_sample, p4_found, p4_labels, p5_found, p5_counts, p6_containers, p7_mixture, p7_shares, p8_found)
+    f.__name__: f for f in (p1_found, p1_overlaps, p1_report, p2_found, p2_splits, p3_sample, p4_found, p4_labels, p5_found, p5_counts, p6_containers, p7_mixture, p7_shares, p8_found)
 }
 
 _DATABASE = r"""nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
