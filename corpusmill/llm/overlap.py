@@ -266,7 +266,7 @@ def features(sql_items: DataFrame, records: DataFrame) -> DataFrame:
 
 
 #: Overlap fraction below which a pair isn't the same record.
-LEAST = 0.2
+LEAST = 0.1
 #: Pairs of texts that one digest may list by itself; beyond it the digest is met together with words.
 DIGEST_PAIRS = 1_000_000
 
