@@ -15,10 +15,11 @@ FUNCTION_WORDS: dict[str, frozenset[str]] = {
     "pl": frozenset("a aby ale bez bo być był była było być by co czy dla do gdy gdzie go i ich ile jak jako jest już każdy które którego która który lub ma mają może na nad najpierw nie niż o obu od on oraz po pod potem przed przez przy są się ta tak tej ten tego to tu tylko tym u w więc wszystkie z za ze że żadne".split()),
     "nl": frozenset("aan al alle als bij dan dat de deze die dit door een eerst en er geen had heb heeft het hier hoe ik in is je kan maar meer met moet na naar niet nog nu of om omdat ook op over te tot uit van veel voor waar wanneer want wat wel welke wij wordt ze zich zijn zo zonder".split()),
 }
-_LANGUAGES_OF: dict[str, list[str]] = {}
+#: The languages in which a word is a function word.
+LANGUAGES_OF: dict[str, list[str]] = {}
 for _lang, _known in FUNCTION_WORDS.items():
     for _word in _known:
-        _LANGUAGES_OF.setdefault(_word, []).append(_lang)
+        LANGUAGES_OF.setdefault(_word, []).append(_lang)
 _SCRIPTS = re.compile("[Ͱ-Ͽ]|[Ѐ-ԯ]|[֐-׿]|[؀-ۿ]|[ऀ-ॿ]|[฀-๿]|[぀-ヿ㐀-鿿]|[가-힯]")
 
 
@@ -26,7 +27,7 @@ def hits(words: set[str]) -> dict[str, int]:
     """How many function words of each language occur."""
     found = dict.fromkeys(FUNCTION_WORDS, 0)
     for word in words:
-        for lang in _LANGUAGES_OF.get(word, ()):
+        for lang in LANGUAGES_OF.get(word, ()):
             found[lang] += 1
     return found
 

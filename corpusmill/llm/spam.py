@@ -1,12 +1,11 @@
 """Keyword-stuffed and link-list pages.
 
-Each page gets features of density, entropy, repetition and function words. For each language the features' medians and
-median deviations and the correlations of the deviations, clipped, give a robust Mahalanobis distance. A page is spam when
-more than half of its words stand in lists of links, tags, menu entries or repeated keywords (exact check on the page's
-segments). Under a tag of another language the exact check may not know the function words; there a page also has to be far
-out in a spam-directed direction. The model is fitted to the pages that the exact check doesn't take, so that a language
-that is mostly spam isn't its own measure; other languages, where that check isn't sure, are fitted to all their pages unless these lie
-spam-ward in what needs no function words.
+Each page gets five features: link density, share of function words, variety and entropy of its words, and the share of its most
+frequent content words. For each language the centre and the covariance of the features are estimated robustly over all of its
+pages: from medians and median deviations the pages near the centre are taken, and their moments twice reweighted by the
+distance they give. A page is flagged when its squared Mahalanobis distance is beyond the 0.99 quantile and it lies out in
+spam-directed directions. An exact check of the flagged pages follows: more than half of the words have to stand in lists of links,
+tags, menu entries or repeated keywords. Only flagged pages are taken apart for it, in the same pass that flags them.
 """
 
 from __future__ import annotations
@@ -16,22 +15,31 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .language import FUNCTION_WORDS
+from .language import FUNCTION_WORDS, LANGUAGES_OF as _LANGUAGES_OF
 from .mixing import language_code
 
 #: Features and the sign in which each points to spam.
-FEATURES = {"listed": 1, "links": 1, "function": -1, "repetition": 1, "entropy": -1, "keyword": 1}
+FEATURES = {"links": 1, "function": -1, "variety": -1, "entropy": -1, "keyword": 1}
+#: Features that need no function words: whether a whole language lies spam-ward is judged by these.
+FREE = ("links", "variety", "entropy")
 #: Least scales, so that a feature that is the same on most pages doesn't get a scale of zero.
-FLOORS = {"listed": 0.05, "links": 0.05, "function": 0.03, "repetition": 0.05, "entropy": 0.05, "keyword": 0.02}
-#: Fixed value: the 0.99 quantile of chi-square with six degrees of freedom.
-DISTANCE = 16.81
+FLOORS = {"links": 0.02, "function": 0.03, "variety": 0.03, "entropy": 0.03, "keyword": 0.03}
+#: The 0.99 and 0.975 quantiles of chi-square with five degrees of freedom.
+DISTANCE, NEAR = 15.086, 12.833
+#: How far out a page has to lie in the spam direction: the mean over the features of the deviation in scales, signed towards spam.
+DIRECTION = 2.0
+#: Centre and scale of each feature over ordinary prose of any length, for a table whose pages are mostly spam.
+PROSE = {"links": (0.0, 0.03), "function": (0.42, 0.06), "variety": (0.9, 0.06), "entropy": (0.86, 0.07), "keyword": (0.09, 0.05)}
+#: Pages' worth of the moments of all languages that each language's own are mixed with, so that a language of few pages has some.
+PRIOR = 50
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]+", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.I | re.S)
@@ -43,9 +51,9 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CODE = re.compile(r"^\s*(?:select|from|where|and|or|inner|left|join|group|order|having|limit|insert|create|update|delete|with|on|values|set)\b.*|.*\bselect\b.*\bfrom\b.*", re.I | re.S)
 _BARS = re.compile(r"\s*[|·•»›>/]\s+|\s+[-–—:~]\s+")
 _SIGNS = re.compile(r"[.!?:;=|]|\d{3}")
-#: Features that need no function words.
-FREE = ("links", "repetition", "entropy", "keyword")
 _LABELLED = re.compile(r"^[\s*\-•]*([\w \-]{1,40}):\s")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ALL_WORDS = frozenset(_LANGUAGES_OF)
 _ALL = frozenset().union(*FUNCTION_WORDS.values()) - {"a", "i", "e", "o", "me", "us"}
 _SETS = {k: v for k, v in FUNCTION_WORDS.items()}
 
@@ -129,12 +137,11 @@ def _explains(text: str, over: set[str]) -> bool:
     return bool(label) and not any(x in over for x in _WORD.findall(label[1].lower()))
 
 
-def page(text: str | None) -> tuple[float, float, float, float, float, float, float, int]:
-    """The six features of a page, the share of its words in spam segments, and its words. A link or tag counts as one word; null and empty texts are all zero."""
+def spam_share(text: str | None) -> float:
+    """The share of a page's words that stand in spam segments. A link or tag counts as one word; null and empty texts have a share of 0."""
     text = text or ""
     if "&" in text:
         text = html.unescape(text)
-    links = 0
     if "<a" in text or "<A" in text:
         text = _ANCHOR.sub(r"\n\1 www.link \n", text)
     if "](" in text:
@@ -163,11 +170,9 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
                 segments[-1] = (w, u + urls, t, c)
             else:
                 segments.append((words, urls, tags, clean))
-            links += urls + tags
     total = sum(len(w) + u + t for w, u, t, _ in segments)
     if not total:
-        return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0
-    words = [w for s in segments for w in s[0]]
+        return 0.0
     plain: list[bool] = []
     code = [bool(_CODE.match(s[3])) and any(c in s[3] for c in "=<>(*;") for s in segments]
     for (w, _, tags, clean), is_code in zip(segments, code, strict=True):
@@ -181,7 +186,7 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
             loose.update(w)
     n_loose = sum(loose.values())
     repeated = {x for x, n in loose.items() if n >= 3} if n_loose and len(loose) <= 0.6 * n_loose else set()
-    listed = spam = 0
+    spam = 0
     for (w, urls, tags, clean), sentence, is_code, is_menu in zip(segments, plain, code, menu, strict=True):
         size = len(w) + urls + tags
         if sentence:
@@ -193,98 +198,154 @@ def page(text: str | None) -> tuple[float, float, float, float, float, float, fl
             continue
         if is_code:
             continue
-        listed += size
         if urls or tags or is_menu or (repeated and any(x in repeated for x in w)):
             spam += size
-    counts = Counter(words)
-    n = len(words)
-    content = [c for x, c in counts.items() if x not in known]
-    top = sum(sorted(content, reverse=True)[:4]) / n if n else 0.0
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
-    return listed / total, links / total, sum(c for x, c in counts.items() if x in known) / total, 1 - len(counts) / n ** 0.85 if n else 0.0, entropy, top, spam / total, total
+    return spam / total
+
+
+_XLOGX = [0.0] + [c * math.log(c) for c in range(1, 4096)]
+
+
+def page_features(text: str | None) -> tuple[float, float, float, float, float, int]:
+    """(links, function, variety, entropy, keyword, words) of a page in one pass over its words; all zero for texts without words."""
+    low = (text or "").lower()
+    counts = Counter(_LETTERS.findall(low))
+    n = counts.total()
+    if not n:
+        return 0.0, 0.0, 0.0, 0.0, 0.0, 0
+    tags = len(_HASH.findall(low)) if "#" in low else 0
+    links = low.count("://") + low.count("www.") - low.count("://www.") + low.count("<a ") + tags
+    by_language: dict[str, int] = {}
+    for word in counts.keys() & _ALL_WORDS:
+        for lang in _LANGUAGES_OF[word]:
+            by_language[lang] = by_language.get(lang, 0) + counts[word]
+    function = max(by_language.values(), default=0)
+    size = max(math.log(n), 1e-9)
+    variety = math.log(len(counts)) / size if n > 1 else 1.0
+    spread = sum(_XLOGX[c] if c < 4096 else c * math.log(c) for c in counts.values() if c > 1)
+    entropy = 1.0 - spread / (n * size) if n > 1 else 1.0
+    if function:
+        for word in counts.keys() & FUNCTION_WORDS[max(by_language, key=lambda k: (by_language[k], k))]:
+            del counts[word]
+    return links / (n + links), function / n, variety, entropy, sum(sorted(counts.values(), reverse=True)[:4]) / n, n
 
 
-SCHEMA = "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", spam double, words int"
+def features(documents: DataFrame) -> DataFrame:
+    """(lang, five features) of each document with words."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = pd.DataFrame([page_features(t) for t in batch["text"]], columns=[*FEATURES, "words"])
+            rows.insert(0, "lang", batch["lang"].to_numpy())
+            yield rows[rows["words"] > 0].drop(columns="words")
 
-def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [*FEATURES, "spam", "words"]
-    for batch in batches:
-        rows = [page(t) for t in batch["text"]]
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        out.insert(1, "lang", batch["lang"].to_numpy())
-        yield out
+    return documents.filter("doc_id is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text").mapInPandas(run, "lang string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, six features, spam, words) of each document with an id."""
-    return documents.filter("doc_id is not null").select("doc_id", language_code(F.col("lang")).alias("lang"), "text").mapInPandas(_pages, SCHEMA)
+_TOWARDS = np.array(list(FEATURES.values()), dtype=float)
+#: (centre, scale of each feature, inverse covariance) of a language.
+Model = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def robust_model(feats: DataFrame, least: int = 50) -> dict[str, tuple[list[float], list[float], np.ndarray]]:
-    """Medians, scales and inverse correlation of each language over its pages with words that aren't spam; a language with few such pages takes those of all.
+def _pick(table: dict[str, np.ndarray], i: int) -> Column:
+    """The i-th value of the row's language in a table of a row for each language."""
+    return F.element_at(F.create_map(*[F.lit(x) for g, v in table.items() for x in (g, float(v[i]))]), F.col("g"))
 
-    'other' is fitted to all its pages. If their medians lie spam-ward of those of all languages in the features that need no function
-    words (by more than a scale on average), its pages are mostly spam and it takes those of all. Two passes of grouped aggregates; to the
-    driver go one row for each language and for all.
+
+def _squared(centre: dict[str, np.ndarray], inverse: dict[str, np.ndarray]) -> Column:
+    """The squared distance of a row of features from its language's centre."""
+    names = list(FEATURES)
+    z = [F.col(f) - _pick(centre, i) for i, f in enumerate(names)]
+    terms = [z[i] * z[j] * _pick({g: (m[i, j] * (1 if i == j else 2)).reshape(1) for g, m in inverse.items()}, 0) for i in range(len(names)) for j in range(i, len(names))]
+    return reduce(lambda a, b: a + b, terms)
+
+
+def robust_model(feats: DataFrame) -> Model:
+    """Robust centre, scales and inverse covariance of each language and of all pages ("all").
+
+    Start: medians and median deviations; moments of the pages within 2.5 deviations in every feature; two reweightings with the
+    pages within the 0.975 quantile of the distance. Moments are mixed with PRIOR pages' worth of those of all languages. A language
+    whose median lies spam-ward of that of all pages in what needs no function words (by more than a scale on average) is mostly spam;
+    it takes the model of all, and a table that is mostly spam that of ordinary prose. Five passes of grouped aggregates over all pages; to the driver go one row for each language and for all.
     """
-    some = feats.filter("words > 0")
     names = list(FEATURES)
-    each = some.withColumn("g", F.explode(F.array(F.col("lang"), F.lit("all")))).filter("spam <= 0.5 or g = 'other'")
-    centre = {r["g"]: r for r in each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 10000).alias(f) for f in names]).collect()}
+    p = len(names)
+    each = feats.withColumn("g", F.explode(F.array(F.col("lang"), F.lit("all"))))
+    rows = lambda df, *aggs: {r["g"]: r for r in df.groupBy("g").agg(*aggs).collect()}
+    centre = {g: np.array([r[f] for f in names], dtype=float) for g, r in rows(each, *[F.percentile_approx(f, 0.5, 10000).alias(f) for f in names]).items()}
     if not centre:
         return {}
-    pick = lambda table, f: F.element_at(F.create_map(*[x for g, v in table.items() for x in (F.lit(g), F.lit(float(v[f] or 0.0)))]), F.col("g"))
-    spread = {r["g"]: r for r in each.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - pick(centre, f)), 0.5, 10000).alias(f) for f in names]).collect()}
-    scale = {g: {f: max(FLOORS[f], 1.4826 * float(spread[g][f] or 0.0)) for f in names} for g in centre}
-    clipped = {f: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col(f) - pick(centre, f)) / pick(scale, f))) for f in names}
-    z = each.select("g", *[clipped[f].alias(f) for f in names])
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = {r["g"]: r for r in z.groupBy("g").agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect()}
-    model = {}
-    for g, c in centre.items():
-        source = g if c["n"] >= least or "all" not in centre else "all"
-        if g == "other" and "all" in centre and sum(FEATURES[f] * (float(c[f] or 0.0) - float(centre["all"][f] or 0.0)) / scale["all"][f] for f in FREE) > len(FREE):
-            source = "all"
-        m = np.zeros((len(names), len(names)))
-        for a, b in pairs:
-            i, j = names.index(a), names.index(b)
-            m[i, j] = m[j, i] = moments[source][f"{a}_{b}"]
-        d = np.sqrt(np.maximum(np.diag(m), 0.1))
-        correlation = m / np.outer(d, d)
-        np.fill_diagonal(correlation, 1.0)
-        model[g] = ([float(centre[source][f] or 0.0) for f in names], [scale[source][f] for f in names], np.linalg.inv(0.5 * correlation + 0.5 * np.eye(len(names))))
+    spread = rows(each, *[F.percentile_approx(F.abs(F.col(f) - _pick(centre, i)), 0.5, 10000).alias(f) for i, f in enumerate(names)])
+    scale = {g: np.array([max(FLOORS[f], 1.4826 * r[f]) for f in names]) for g, r in spread.items()}
+    middle, floor = centre, np.diag([FLOORS[f] ** 2 / 4 for f in names])
+    near = reduce(lambda a, b: a & b, [F.abs(F.col(f) - _pick(centre, i)) <= _pick(scale, i) * 2.5 for i, f in enumerate(names)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    # what truncation takes from the variance of a normal feature within 2.5 deviations, and of all within the 0.975 quantile
+    for part in (0.9112, 0.94, 0.94):
+        # sums around the middle, which keeps them small
+        z = [F.col(f) - _pick(middle, i) for i, f in enumerate(names)]
+        sums = rows(each.filter(near), F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in pairs])
+        n = {g: r["n"] for g, r in sums.items()}
+        mean = {g: np.array([r[f"s{i}"] for i in range(p)]) / r["n"] for g, r in sums.items()}
+        cov: dict[str, np.ndarray] = {}
+        for g, r in sums.items():
+            q = np.zeros((p, p))
+            for i, j in pairs:
+                q[i, j] = q[j, i] = r[f"q{i}_{j}"] / r["n"]
+            cov[g] = (q - np.outer(mean[g], mean[g])) / part + floor
+        of_all = (middle["all"] + mean["all"], cov["all"]) if "all" in mean else (middle["all"], np.diag(scale["all"] ** 2))
+        new, inverse = {}, {}
+        for g in centre:
+            w = n.get(g, 0) / (n.get(g, 0) + PRIOR) if g != "all" else 1.0
+            new[g] = w * (middle[g] + mean.get(g, 0)) + (1 - w) * of_all[0]
+            inverse[g] = np.linalg.inv(w * cov.get(g, of_all[1]) + (1 - w) * of_all[1])
+        middle = new
+        near = _squared(middle, inverse) <= NEAR
+    free = [names.index(f) for f in FREE]
+    model: Model = {}
+    mean, width = (np.array([PROSE[f][k] for f in names]) for k in (0, 1))
+    if float(((centre["all"] - mean) / width * _TOWARDS).mean()) > 2.5:
+        return dict.fromkeys(centre, (mean, width, np.diag(1 / width**2)))
+    for g in centre:
+        ward = float((((centre[g] - centre["all"]) / scale["all"]) * _TOWARDS)[free].mean())
+        source = "all" if ward > 1 else g
+        model[g] = (middle[source], np.sqrt(np.diag(np.linalg.inv(inverse[source]))), inverse[source])
     return model
 
 
-def outliers(feats: DataFrame) -> DataFrame:
-    """The feature rows with their squared distance and direction (mean signed deviation, positive towards spam)."""
-    model = robust_model(feats)
-    names = list(FEATURES)
-    if not model:
-        return feats.withColumns({"distance": F.lit(0.0), "direction": F.lit(0.0)})
-
-    @F.pandas_udf("struct<distance: double, direction: double>")
-    def score(lang: pd.Series, *values: pd.Series) -> pd.DataFrame:
-        x = np.column_stack([v.to_numpy(dtype=float) for v in values])
-        distance, direction = np.zeros(len(x)), np.zeros(len(x))
-        signs = np.array([FEATURES[f] for f in names], dtype=float)
-        for g in set(lang):
-            at = (lang == g).to_numpy()
-            if g not in model and "all" not in model:  # no page of a known language that isn't spam to measure by
-                continue
-            centre, scale, inverse = model.get(g) or model["all"]
-            z = (x[at] - np.array(centre)) / np.array(scale)
-            distance[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
-            direction[at] = (z * signs).mean(1)
-        return pd.DataFrame({"distance": distance, "direction": direction})
+def score(model: Model, lang: str, values: tuple[float, ...]) -> tuple[float, float]:
+    """(squared distance, direction) of a page's features.
+
+    The direction is the mean deviation in scales, positive towards spam; a feature on the other side takes away one scale at most, so that
+    much of it (function words between keywords) hides nothing.
+    """
+    centre, scale, inverse = model.get(lang) or model["all"]
+    z = np.array(values) - centre
+    return float(z @ inverse @ z), float(np.maximum(z / scale * _TOWARDS, -1.0).mean())
+
+
+def flagged_pages(documents: DataFrame, direction: float = DIRECTION) -> DataFrame:
+    """(doc_id, lang, distance, direction, spam) of the pages that lie out of their language's pages towards spam, with the exact share of their spam words.
+
+    Two passes over the texts (features; flagging and checking), no shuffle of texts. Pages without words are none.
+    """
+    model = robust_model(cut_lineage(features(documents)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
+                *values, words = page_features(text)
+                if words:
+                    far, ward = score(model, lang, tuple(values))
+                    if far > DISTANCE and ward > direction:
+                        rows.append((doc_id, lang, far, ward, spam_share(text)))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "distance", "direction", "spam"])
 
-    return feats.withColumn("s", score("lang", *names)).select("*", "s.distance", "s.direction").drop("s")
+    ready = documents.filter("doc_id is not null and text is not null").select("doc_id", language_code(F.col("lang")).alias("lang"), "text")
+    return ready.mapInPandas(run, "doc_id bigint, lang string, distance double, direction double, spam double")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, distance, direction, spam): pages of which more than half of the words are spam, under tags of other languages only outliers in the spam direction. Pages without words are none."""
-    scored = outliers(cut_lineage(features(documents)))
-    outlier = (F.col("distance") > DISTANCE) & (F.col("direction") > 0)
-    return scored.filter((F.col("words") > 0) & (F.col("spam") > 0.5) & ((F.col("lang") != "other") | outlier)).select("doc_id", "lang", "distance", "direction", "spam")
+    """(doc_id, lang, distance, direction, spam): flagged pages of which more than half of the words are spam. An id that comes twice is listed for each of its rows."""
+    return flagged_pages(documents).filter("spam > 0.5")

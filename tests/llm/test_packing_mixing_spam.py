@@ -142,8 +142,8 @@ FINE = [
 
 
 def test_spam_share():
-    assert all(spam.page(t)[6] > 0.5 for t in SPAM) and all(spam.page(t)[6] <= 0.4 for t in FINE)
-    assert spam.page(None)[7] == spam.page("")[7] == spam.page(" \n")[7] == 0
+    assert all(spam.spam_share(t) > 0.5 for t in SPAM) and all(spam.spam_share(t) <= 0.4 for t in FINE)
+    assert spam.spam_share(None) == spam.spam_share("") == spam.spam_share(" \n") == 0 and spam.page_features("1 2 .")[5] == 0
 
 
 def test_spam_pages(spark):
@@ -175,7 +175,7 @@ REPEATING = [
 
 
 def test_keywords_in_long_and_short_sentences(spark):
-    assert all(spam.page(t)[6] > 0.5 for t in STUFFED) and all(spam.page(t)[6] <= 0.4 for t in REPEATING)
+    assert all(spam.spam_share(t) > 0.5 for t in STUFFED) and all(spam.spam_share(t) <= 0.4 for t in REPEATING)
     fine = [(i, PROSE * (2 + i % 5) + FINE[6 + i % 2], "en", "s", 1) for i in range(100)] + [(200 + k, t, "en", "s", 1) for k, t in enumerate(REPEATING)]
     docs = spark.createDataFrame(fine + [(500 + k, t, "en", "s", 1) for k, t in enumerate(STUFFED)], DOCS)
     assert {r.doc_id for r in spam.spam_pages(docs).collect()} == {500 + k for k in range(len(STUFFED))}
