@@ -297,8 +297,9 @@ def robust_model(feats: DataFrame) -> Model:
         new, inverse = {}, {}
         for g in centre:
             w = n.get(g, 0) / (n.get(g, 0) + PRIOR) if g != "all" else 1.0
-            new[g] = w * (middle[g] + mean.get(g, 0)) + (1 - w) * of_all[0]
-            inverse[g] = np.linalg.inv(w * cov.get(g, of_all[1]) + (1 - w) * of_all[1])
+            own = middle[g] + mean.get(g, 0)
+            new[g] = w * own + (1 - w) * of_all[0]
+            inverse[g] = np.linalg.inv(w * cov.get(g, of_all[1]) + (1 - w) * of_all[1] + w * (1 - w) * np.outer(own - of_all[0], own - of_all[0]))
         middle = new
         near = _squared(middle, inverse) <= NEAR
     free = [names.index(f) for f in FREE]
