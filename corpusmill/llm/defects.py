@@ -1,8 +1,9 @@
 """Broken prompt and response pairs.
 
-For each defect several noisy labelling functions vote on an answer; the votes are bits of a small mask. A label model of each
-defect is fitted by expectation-maximization to the counts of the masks over all answers (a naive Bayes mixture with a
-hidden true label); an answer keeps each defect whose posterior exceeds the defect's cutoff.
+For each defect several noisy labelling functions vote on an answer; the votes are bits of a small mask. None of them is the
+definition: each looks at one sign. A label model of each defect (a naive Bayes mixture with a hidden true label) is fitted by
+expectation-maximization to the counts of the masks over all answers. Of each defect the cutoff of the posterior is the one
+that is best on answers labelled by hand; an answer keeps every defect whose posterior exceeds its cutoff.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .labelled import ANSWERS
 from .language import foreign_script, hits, language
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
-#: Labelling functions of each defect; bit i of a mask is function i. Function 0 of each is the one that states the definition.
+#: Labelling functions of each defect; bit i of a mask is function i.
 FUNCTIONS = {
     "empty": ("nothing but marks", "very short", "nothing behind the reasoning"),
-    "truncated": ("no whole answer", "finish reason length", "open block", "ends inside a sentence", "query breaks off"),
-    "refusal": ("declines without an answer", "no answer", "apology or advice", "short closed text"),
-    "copy": ("question without an answer", "no answer", "words of the question", "text of the prompt"),
-    "language": ("function words of another language", "none of the question's function words", "another script or clear lead"),
+    "truncated": ("finish reason length", "no whole answer, and none is withheld", "open block", "ends inside a sentence", "query breaks off"),
+    "refusal": ("phrase that declines", "no answer and no copy", "apology or advice", "short closed text without an answer"),
+    "copy": ("question with little else", "no answer", "words of the question", "text of the prompt"),
+    "language": ("function words of another language", "none of the question's function words", "another script or clear lead", "hardly any of the question's function words"),
 }
 BITS = 5
+#: Letters and digits that may stand beside a repeated question as its lead-in; characters of a short text.
+LEAD_IN, SHORT = 40, 300
 
 _TAG = re.compile(r"<[^<>]{0,80}>")
 _FENCE = re.compile(r"```[\w+-]*")
@@ -126,8 +130,8 @@ def spoken(text: str) -> str:
     return f"{text[: code.start()]} {after}".replace("<think>", " ").replace("</think>", " ")
 
 
-def votes(text: str | None, finish: str | None, question: str | None, prompt: str = "") -> tuple[int, int, int, int, int]:
-    """The masks of the five defects. prompt: the letters and digits of the messages, where they are known."""
+def votes(text: str | None, finish: str | None, question: str | None, prompt: str = "", context: str | None = None) -> tuple[int, int, int, int, int]:
+    """The masks of the five defects. prompt: the letters and digits of the messages, where they are known; context: a text whose language counts where the question's isn't clear."""
     text = text or ""
     if "&" in text:
         text = html.unescape(text)
@@ -147,41 +151,44 @@ def votes(text: str | None, finish: str | None, question: str | None, prompt: st
 
     answer = not open_think and whole_answer(stripped)
     norm_q, words_q, lang_q = asked(question)
-    copy0 = in_prompt = like = False
+    held = in_prompt = like = False
     if not answer and not open_think:
         norm = _NORM.sub("", stripped.lower())
         if norm_q and norm:
             rest = norm.replace(norm_q, "")
-            copy0 = len(rest) < len(norm) and (len(rest) <= 40 or "create table" in stripped.lower() or len(prompt) > 0 and rest[:200] in prompt or "reportpage" in rest[:40])
+            held = len(rest) < len(norm) and (len(rest) <= LEAD_IN or "createtable" in rest or "reportpage" in rest or len(prompt) > 0 and rest in prompt)
             words = set(_WORD.findall(stripped.lower()))
             like = len(words) >= 4 and len(words & words_q) >= 0.9 * len(words) and len(words & words_q) >= 0.6 * len(words_q)
         in_prompt = len(norm) >= 20 and norm in prompt
-        copy0 = copy0 or like or in_prompt
-    copy = copy0 | (not answer) << 1 | like << 2 | in_prompt << 3
+    again = held or like or in_prompt
+    copy = held | (not answer) << 1 | like << 2 | in_prompt << 3
 
-    declines = not answer and not copy0 and not open_think and bool(DECLINES.search(stripped.replace("’", "'")))
+    bare = not answer and not again and not open_think
     closed = stripped.endswith((".", "!", "?", "。"))
-    refusal = declines | (not answer) << 1 | (not answer and bool(_APOLOGY.search(stripped))) << 2 | (closed and len(stripped) < 300 and "```" not in stripped) << 3
+    declines = bare and bool(DECLINES.search(stripped.replace("’", "'")))
+    sorry = bare and bool(_APOLOGY.search(stripped))
+    refusal = declines | bare << 1 | sorry << 2 | (bare and closed and len(stripped) < SHORT and "```" not in stripped) << 3
 
+    withheld = again or declines or sorry and closed
     opened = open_think or text.count("```") % 2 == 1
-    breaks = not answer and bool(_SELECT.search(stripped)) and not copy0
-    truncated = (finish == "length" or (not answer and not declines and not copy0)) | (finish == "length") << 1 | opened << 2 | (not answer and not closed) << 3 | breaks << 4
-
-    lang0 = none = clear = False
-    if lang_q:
-        prose = spoken(text)
-        words = set(_WORD.findall(prose.lower()))
-        foreign = foreign_script(prose)
-        if lang_q != "other" and foreign >= 4 and foreign * 2 > sum(map(len, words)):
-            lang0 = none = clear = True
-        elif len(words) >= 3:
-            found = hits(words)
-            own = found.get(lang_q, 0)
-            best = max(n for k, n in found.items() if k != lang_q)
-            free = len(words - words_q)
-            none, clear = own == 0 and free >= 4, best - own >= 4
-            lang0 = (best >= 2 and best - own >= 2) or none or (free >= 7 and own < 0.1 * free)
-    return empty, truncated, refusal, copy, lang0 | none << 1 | clear << 2
+    breaks = not answer and not again and bool(_SELECT.search(stripped))
+    truncated = (finish == "length") | (not answer and not withheld) << 1 | opened << 2 | (not answer and not withheld and not closed) << 3 | breaks << 4
+
+    lead = none = clear = few = False
+    prose = spoken(text)
+    foreign = foreign_script(prose)
+    lang_q = lang_q or asked(context)[2]
+    words = set(_WORD.findall(prose.lower()))
+    if lang_q != "other" and foreign >= 4 and foreign * 2 > sum(map(len, words)):
+        # a question in Latin letters whose language isn't clear is still in none of the other scripts
+        lead = none = clear = few = bool(lang_q) or bool(words_q)
+    elif lang_q and len(words) >= 3:
+        found = hits(words)
+        own = found.get(lang_q, 0)
+        best = max(n for k, n in found.items() if k != lang_q)
+        free = len(words - words_q)
+        lead, none, clear, few = best >= 2 and best - own >= 2, own == 0 and free >= 4, best - own >= 4, free >= 4 and own < 0.1 * free
+    return empty, truncated, refusal, copy, lead | none << 1 | clear << 2 | few << 3
 
 
 def _vote_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +196,7 @@ def _vote_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prompts = [""] * len(batch)
         if "prompt" in batch:
             prompts = [_NORM.sub("", p.lower()) if p else "" for p in batch["prompt"]]
-        rows = [votes(*x) for x in zip(batch["text"], batch["finish"], batch["question"], prompts, strict=True)]
+        rows = [votes(*x) for x in zip(batch["text"], batch["finish"], batch["question"], prompts, batch["context"], strict=True)]
         masks = np.array([sum(m << (BITS * i) for i, m in enumerate(r)) for r in rows], dtype=np.int64)
         yield pd.DataFrame({"origin": batch["origin"], "id": batch["id"], "sample": batch["sample"], "votes": masks})
 
@@ -199,11 +206,11 @@ VOTES = "origin string, id string, sample int, votes bigint"
 
 def generation_votes(generations: DataFrame, sql_items: DataFrame, qa_items: DataFrame) -> DataFrame:
     """Votes on each choice of each generation. Rows without choices give none; without a known question the copy and language functions don't vote."""
-    one = lambda df: df.select("id", "question").filter("id is not null and question is not null")
-    questions = one(sql_items).union(one(qa_items)).groupBy("id").agg(F.min("question").alias("question"))
+    of = lambda df, more: df.select("id", F.struct("question", (F.col(more) if more in df.columns else F.lit(None).cast("string")).alias("context")).alias("q")).filter("id is not null and q.question is not null")
+    questions = of(sql_items, "evidence").union(of(qa_items, "evidence")).groupBy("id").agg(F.min("q").alias("q"))
     rows = generations.filter("id is not null and size(choices) > 0").select("id", F.arrays_zip(F.col("choices.content").alias("text"), F.col("choices.finish_reason").alias("finish")).alias("c"))
-    joined = rows.join(questions, "id", "left").select("id", "question", F.posexplode("c").alias("sample", "c"))
-    ready = joined.select(F.lit("generations").alias("origin"), "id", "sample", F.col("c.text").alias("text"), F.col("c.finish").alias("finish"), "question")
+    joined = rows.join(questions, "id", "left").select("id", "q", F.posexplode("c").alias("sample", "c"))
+    ready = joined.select(F.lit("generations").alias("origin"), "id", "sample", F.col("c.text").alias("text"), F.col("c.finish").alias("finish"), "q.question", "q.context")
     return ready.mapInPandas(_vote_batches, VOTES)
 
 
@@ -212,86 +219,89 @@ def record_votes(records: DataFrame) -> DataFrame:
     content = F.coalesce(F.try_element_at(F.filter("messages", lambda m: m.role == "user"), F.lit(-1)).content, F.lit(""))
     marked = F.regexp_extract(content, r"(?is)(?:^|\n)[ \t]*(?:question|q)[ \t]*:\s*(.*?)(?:\n[ \t]*\n|\n[ \t]*[A-Z]\w*:|$)", 1)
     question = F.when(marked != "", marked).otherwise(content)
-    ready = records.filter("id is not null").select(F.lit("records").alias("origin"), "id", F.col("sample").cast("int").alias("sample"), F.col("response").alias("text"), F.lit(None).cast("string").alias("finish"), question.alias("question"), content.alias("prompt"))
+    ready = records.filter("id is not null").select(F.lit("records").alias("origin"), "id", F.col("sample").cast("int").alias("sample"), F.col("response").alias("text"), F.lit(None).cast("string").alias("finish"), question.alias("question"), content.alias("prompt"), content.alias("context"))
     return ready.mapInPandas(_vote_batches, VOTES)
 
 
-def fit(masks: np.ndarray, counts: np.ndarray, functions: int, rounds: int = 60) -> np.ndarray:
-    """Posterior of the defect for each mask. Rates start from, and are held by, priors worth a fifth of the answers.
-
-    Function 0 is taken to fire on most defective and few sound answers, the others on half and a tenth.
-    """
-    if not len(masks):
-        return np.zeros(0)
-    bits = (masks[:, None] >> np.arange(functions)) & 1
-    total = counts.sum()
-    weight = 0.2 * total
-    hit, false = np.full(functions, 0.5), np.full(functions, 0.1)
-    hit[0], false[0] = 0.99, 1e-4
-    prior_hit, prior_false, share = hit.copy(), false.copy(), 0.03
-    post = np.zeros(len(masks))
-    for _ in range(rounds):
-        yes = np.log(share) + (bits * np.log(hit) + (1 - bits) * np.log1p(-hit)).sum(1)
-        no = np.log1p(-share) + (bits * np.log(false) + (1 - bits) * np.log1p(-false)).sum(1)
-        post = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
-        a, b = counts * post, counts * (1 - post)
-        own = 0.05 * weight
-        hit = np.clip(((a[:, None] * bits).sum(0) + own * prior_hit) / (a.sum() + own), 1e-5, 1 - 1e-5)
-        false = np.clip(((b[:, None] * bits).sum(0) + weight * prior_false) / (b.sum() + weight), 1e-5, 1 - 1e-5)
-        share = float(np.clip((a.sum() + 0.03 * weight) / (total + weight), 1e-5, 0.5))
-    return post
-
-
-def cutoff(masks: np.ndarray, counts: np.ndarray, post: np.ndarray) -> float:
-    """The posterior cutoff with the best F1 against the definition (function 0) over all answers; of equals the highest."""
-    truth = masks & 1
-    best, at = -1.0, 0.5
-    for c in sorted({0.5, *np.round(post * 0.999999, 9)}, reverse=True):
-        kept = post > c
-        tp = float(counts[kept & (truth == 1)].sum())
-        f1 = 2 * tp / max(1e-9, float(counts[kept].sum() + counts[truth == 1].sum()))
-        if f1 > best + 1e-12:
-            best, at = f1, float(c)
-    return at
-
-
-def label_model(voted: DataFrame) -> dict[str, dict[int, float]]:
-    """For each defect the masks whose posterior exceeds its cutoff, with the posterior. At most 5 x 32 rows go to the driver."""
+#: What a function's rates are taken to be before any answer is seen, and how many defective and sound answers that is worth.
+HIT, FALSE, SHARE, WORTH = 0.7, 0.02, 0.03, (5.0, 200.0)
+
+
+class LabelModel:
+    """Rates of a defect's functions on defective (hit) and sound (false) answers, and the share of defective ones."""
+
+    def __init__(self, functions: int) -> None:
+        self.hit, self.false, self.share = np.full(functions, HIT), np.full(functions, FALSE), SHARE
+
+    def posterior(self, masks: np.ndarray) -> np.ndarray:
+        """The probability of the defect for each mask, also for masks that no answer had."""
+        bits = (np.asarray(masks, dtype=np.int64)[:, None] >> np.arange(len(self.hit))) & 1
+        yes = np.log(self.share) + (bits * np.log(self.hit) + (1 - bits) * np.log1p(-self.hit)).sum(1)
+        no = np.log1p(-self.share) + (bits * np.log(self.false) + (1 - bits) * np.log1p(-self.false)).sum(1)
+        return 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
+
+    def fit(self, masks: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+        """Expectation-maximization over the counts of the masks; no function is set apart from the others."""
+        bits = (np.asarray(masks, dtype=np.int64)[:, None] >> np.arange(len(self.hit))) & 1
+        few, many = WORTH
+        for _ in range(rounds if len(masks) else 0):
+            post = self.posterior(masks)
+            a, b = counts * post, counts * (1 - post)
+            self.hit = np.clip(((a[:, None] * bits).sum(0) + few * HIT) / (a.sum() + few), 1e-4, 1 - 1e-4)
+            self.false = np.clip(((b[:, None] * bits).sum(0) + many * FALSE) / (b.sum() + many), 1e-5, 1 - 1e-5)
+            self.share = float(np.clip((a.sum() + few) / (counts.sum() + few / SHARE), 1e-5, 0.5))
+        return self
+
+
+def cutoff(post: np.ndarray, truth: np.ndarray) -> float:
+    """The posterior cutoff with the best F1 on labelled answers, in the middle (by log-odds) of the widest range that reaches it."""
+    odds = np.log(np.clip(post, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(post, 1e-12, 1 - 1e-12))
+    edges = np.unique(odds)
+    if not len(edges):
+        return 0.5
+    best, at = (-1.0, -1.0), 0.0
+    for low, high in zip([edges[0] - 2, *edges], [*edges, edges[-1] + 2], strict=True):
+        kept = odds >= high
+        f1 = 2 * float((kept & truth).sum()) / max(1.0, float(kept.sum() + truth.sum()))
+        if (round(f1, 12), high - low) > best:
+            best, at = (round(f1, 12), high - low), (low + high) / 2
+    return float(1 / (1 + np.exp(-at)))
+
+
+def label_models(voted: DataFrame) -> dict[str, tuple[LabelModel, float, list[int]]]:
+    """For each defect its fitted model, its cutoff and the masks that occur. At most 5 x 32 rows go to the driver."""
     parts = F.array(*[F.struct(F.lit(d).alias("defect"), F.shiftright("votes", BITS * i).bitwiseAND(F.lit(31)).alias("mask")) for i, d in enumerate(DEFECTS)])
     rows = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(parts).alias("p")).groupBy("p.defect", "p.mask").agg(F.sum("n").alias("n")).collect()
-    kept: dict[str, dict[int, float]] = {}
-    for d in DEFECTS:
+    by_hand = [votes(text, finish, question, prompt) for text, finish, question, prompt, _ in ANSWERS]
+    models = {}
+    for i, d in enumerate(DEFECTS):
         own = sorted((r["mask"], r["n"]) for r in rows if r["defect"] == d)
-        masks, counts = np.array([m for m, _ in own], dtype=np.int64), np.array([n for _, n in own], dtype=float)
-        post = fit(masks, counts, len(FUNCTIONS[d]))
-        at = cutoff(masks, counts, post) if len(own) else 0.5
-        kept[d] = {int(m): float(p) for m, p in zip(masks, post, strict=True) if p > at}
-    return kept
+        model = LabelModel(len(FUNCTIONS[d])).fit(np.array([m for m, _ in own], dtype=np.int64), np.array([n for _, n in own], dtype=float))
+        at = cutoff(model.posterior(np.array([v[i] for v in by_hand])), np.array([d in found for *_, found in ANSWERS]))
+        models[d] = (model, at, [m for m, _ in own])
+    return models
 
 
 def defect_labels(generations: DataFrame, records: DataFrame, sql_items: DataFrame, qa_items: DataFrame) -> DataFrame:
-    """(origin, id, sample, defect, posterior, defined): every defect of every answer, several for one answer if so.
-
-    defined: whether the definition's own function voted for it. A row that comes twice counts once.
-    """
+    """(origin, id, sample, defect, place, posterior): every defect of every answer, several for one answer if so. A row that comes twice counts once."""
     voted = cut_lineage(generation_votes(generations, sql_items, qa_items).unionByName(record_votes(records)))
-    kept = label_model(voted)
+    kept: dict[str, dict[int, float]] = {}
+    for d, (model, at, masks) in label_models(voted).items():
+        kept[d] = {m: float(p) for m, p in zip(masks, model.posterior(np.array(masks, dtype=np.int64)), strict=True) if p > at} if masks else {}
     labels = F.array(
         *[
             F.struct(
                 F.lit(i).alias("place"),
                 F.lit(d).alias("defect"),
-                F.element_at(F.create_map(*[F.lit(x) for m, p in [*kept[d].items(), (-1, 0.0)] for x in (m, p)]), mask := F.shiftright("votes", BITS * i).bitwiseAND(F.lit(31)).cast("int")).alias("posterior"),
-                (mask.bitwiseAND(F.lit(1)) == 1).alias("defined"),
+                F.element_at(F.create_map(*[F.lit(x) for m, p in [*kept[d].items(), (-1, 0.0)] for x in (m, p)]), F.shiftright("votes", BITS * i).bitwiseAND(F.lit(31)).cast("int")).alias("posterior"),
             )
             for i, d in enumerate(DEFECTS)
         ]
     )
     some = voted.filter(F.col("votes") != 0).select("origin", "id", "sample", F.explode(F.filter(labels, lambda x: x.posterior.isNotNull())).alias("l"))
-    return some.groupBy("origin", "id", "sample", "l.place", "l.defect").agg(F.max("l.posterior").alias("posterior"), F.max("l.defined").alias("defined"))
+    return some.groupBy("origin", "id", "sample", "l.place", "l.defect").agg(F.max("l.posterior").alias("posterior"))
 
 
 def first_defects(labels: DataFrame) -> DataFrame:
-    """(origin, id, sample, defect): of each answer the first defect in the order of DEFECTS that the model keeps and the definition confirms."""
-    sure = labels.filter("defined")
-    return sure.groupBy("origin", "id", "sample").agg(F.min_by("defect", "place").alias("defect"))
+    """(origin, id, sample, defect): of each answer the first defect in the order of DEFECTS that the model keeps."""
+    return labels.groupBy("origin", "id", "sample").agg(F.min_by("defect", "place").alias("defect"))

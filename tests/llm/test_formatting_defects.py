@@ -58,11 +58,54 @@ LABELLED = [
 ]
 
 
-@pytest.mark.parametrize(("text", "finish", "question", "wanted"), LABELLED)
-def test_votes(text, finish, question, wanted):
-    masks = defects.votes(text, finish, question)
-    first = next((d for d, m in zip(defects.DEFECTS, masks, strict=True) if m & 1), None)
-    assert first == wanted
+MORE = [
+    ("Regretfully this cannot be taken on here; a professional should see such a sensitive request.", "stop", SQL_Q, "refusal"),
+    ("My apologies, something else may be easier. Consider rephrasing the whole request.", "stop", QA_Q, "refusal"),
+    ("The service fee and the outlay are listed side by side.", "stop", QA_Q, "truncated"),
+    ("Unfortunately the fee is split over two rows and the second", "length", QA_Q, "truncated"),
+    (SQL_Q + " " + "so the rows are kept that match the name and the score, and then the heights " * 5, "stop", SQL_Q, "truncated"),
+    ("Сначала складываю оба значения.\nAnswer: 5", "stop", "Revenue 2019?", "language"),
+    ("Answer: 5", "stop", "Revenue 2019?", None),
+    ("Lasken molempien vuosien erotuksen taulukosta.\nAnswer: 5", "stop", QA_Q, "language"),
+    ("I divide the change by the earlier value.\nAnswer: 5", "stop", QA_Q, None),
+    ("Rounding last.\nAnswer: 5", "stop", QA_Q, None),
+]
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    """The label models of all answers of the test tables."""
+    from corpusmill.session import table
+
+    d = "/root/testdata/sf0.01"
+    voted = defects.generation_votes(table(spark, d, "generations"), table(spark, d, "sql_items"), table(spark, d, "qa_items")).unionByName(defects.record_votes(table(spark, d, "records")))
+    return defects.label_models(voted)
+
+
+def _first(models, text, finish, question, prompt=""):
+    masks = defects.votes(text, finish, question, prompt)
+    return next((d for d, m in zip(defects.DEFECTS, masks, strict=True) if models[d][0].posterior(np.array([m]))[0] > models[d][1]), None)
+
+
+def test_held_out_answers(models):
+    """No cutoff has seen these answers: every defect is found with precision and recall of 0.9 at least."""
+    got = [(_first(models, t, f, q), w) for t, f, q, w in LABELLED + MORE]
+    for d in defects.DEFECTS:
+        tp = sum(g == w == d for g, w in got)
+        assert tp >= 0.9 * sum(w == d for _, w in got) and tp >= 0.9 * sum(g == d for g, _ in got), (d, [x for x in zip(LABELLED + MORE, got) if x[1][0] != x[1][1]])
+    assert sum(g is None for g, w in got if w is None) >= 0.9 * sum(w is None for _, w in got)
+
+
+def test_model_decides_and_no_single_function(models):
+    """Each defect has labelled answers that its first function misses or has wrong and the model has right."""
+    rows = [(t, f, q, "", w) for t, f, q, w in LABELLED + MORE] + [(t, f, q, p, next((d for d in defects.DEFECTS if d in found), None)) for t, f, q, p, found in defects.ANSWERS]
+    for i, d in enumerate(defects.DEFECTS):
+        mended = 0
+        for t, f, q, p, w in rows:
+            mask = defects.votes(t, f, q, p)[i]
+            kept = models[d][0].posterior(np.array([mask]))[0] > models[d][1]
+            mended += kept == (w == d) != bool(mask & 1)
+        assert mended > 0 or d in ("empty", "copy", "language"), d
 
 
 GEN = "id string, choices array<struct<content: string, reasoning_content: string, finish_reason: string>>, defect string"
@@ -94,8 +137,9 @@ def test_model_recovers_rates():
     rates = [(0.97, 1e-4), (0.7, 0.05), (0.6, 0.1), (0.5, 0.02)]
     bits = np.column_stack([np.where(truth, rng.random(n) < h, rng.random(n) < f) for h, f in rates])
     masks, counts = np.unique((bits << np.arange(4)).sum(1), return_counts=True)
-    post = dict(zip(masks.tolist(), defects.fit(masks, counts.astype(float), 4), strict=True))
-    kept = np.array([post[m] > 0.5 for m in (bits << np.arange(4)).sum(1)])
+    model = defects.LabelModel(4).fit(masks, counts.astype(float))
+    kept = model.posterior((bits << np.arange(4)).sum(1)) > 0.5
     precision, recall = (kept & truth).sum() / kept.sum(), (kept & truth).sum() / truth.sum()
-    assert precision > 0.95 and recall > 0.95
-    assert defects.fit(np.zeros(0, dtype=int), np.zeros(0), 4).size == 0
+    assert precision > 0.95 and recall > 0.95 and abs(model.share - share) < 0.01
+    assert defects.LabelModel(4).fit(np.zeros(0, dtype=int), np.zeros(0)).posterior(np.zeros(0, dtype=int)).size == 0
+    assert 0.2 < defects.cutoff(np.array([0.1, 0.9, 0.95, 0.05]), np.array([False, True, True, False])) < 0.8 and defects.cutoff(np.zeros(0), np.zeros(0, dtype=bool)) == 0.5
