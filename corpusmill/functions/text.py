@@ -15,7 +15,11 @@ BARE_QUERY = r"(?is)\b(?:WITH|SELECT)\b.*"
 SAMPLE_SUFFIX = "#s[0-9]+$"
 DATABASE_NAME = "^[A-Za-z0-9_]+$"
 REPORT_NAME = r"^[A-Za-z0-9.\-]+/\d{4}/page_\d+\.pdf$"
-RETRY_CODES = (408, 425, 429, 500, 502, 503, 504)
+RETRY_CODES = (408, 429, 500, 502, 503, 504)
+RETRY_WORDS = ("not yet ready", "scale-up", "temporarily unavailable")
+#: Where a question and its evidence stand in a prompt, each up to a blank line, the next label or the end.
+QUESTION_PART = r"(?s)^(?:.*\n)?(?:Question|Q): ?(.*?)(?:\n[ \t]*\n|\n[A-Z][A-Za-z ]{0,30}:|\s*\z)"
+EVIDENCE_PART = r"(?s)^(?:.*\n)?(?:External knowledge|Evidence|Hint): ?(.*?)(?:\n[ \t]*\n|\n[A-Z][A-Za-z ]{0,30}:|\s*\z)"
 
 
 def strip(c: Column) -> Column:
@@ -33,9 +37,13 @@ def words(c: Column) -> Column:
 
 
 def word_ngrams(c: Column, n: int = 13) -> Column:
-    """All runs of n words of a text; fewer words give an empty array."""
-    w = words(c)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words of a text; fewer words give an empty array.
+
+    The words are bound by an outer lambda, so they are found once a text and not once an n-gram.
+    """
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    each = F.transform(F.array(words(c)), lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
+    return F.get(each, F.lit(0))
 
 
 def digest128(*columns: Column) -> list[Column]:
@@ -81,8 +89,14 @@ def normalize_sql(c: Column) -> Column:
 
 
 def question_of(c: Column) -> Column:
-    """The question of a user message: behind the last 'Question:' or 'Q:' at the start of a line, to the end of that line; '' if there is none."""
-    return F.regexp_extract(c, r"(?s)^(?:.*\n)?(?:Question|Q): ?([^\n]*)", 1)
+    """The question of a user message: behind the last 'Question:' or 'Q:' at the start of a line, up to a blank line or the next label; '' if there is none."""
+    return F.regexp_extract(c, QUESTION_PART, 1)
+
+
+def evidence_of(c: Column) -> Column:
+    """The evidence of a user message, as question_of; '' if there is none or it says 'none'."""
+    found = F.regexp_extract(c, EVIDENCE_PART, 1)
+    return F.when(F.lower(strip(found)) == "none", F.lit("")).otherwise(found)
 
 
 def strip_sample(c: Column) -> Column:
@@ -138,10 +152,9 @@ def json_object(c: Column) -> Column:
     fenced = F.regexp_extract(body, r"(?s)^```[a-zA-Z]*\s*\n?(.*?)```\s*$", 1)
     inner = F.when(fenced != "", strip(fenced)).otherwise(body)
     braces = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.nullif(braces, F.lit("")), "map<string,string>")
-    return F.when(F.size(parsed) > 0, parsed)
+    return F.from_json(F.nullif(braces, F.lit("")), "map<string,string>")
 
 
 def retryable(code: Column, text: Column) -> Column:
     """Whether a failed call may be tried again."""
-    return F.coalesce(code.isin(*RETRY_CODES), F.lit(False)) | F.coalesce(F.lower(text).rlike("rate limit|overloaded|timeout|temporarily"), F.lit(False))
+    return F.coalesce(code.isin(*RETRY_CODES), F.lit(False)) | F.coalesce(F.lower(text).rlike("|".join(RETRY_WORDS)), F.lit(False))

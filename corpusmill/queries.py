@@ -78,81 +78,115 @@ s AS (SELECT *, CASE WHEN place > 2 THEN 'over_cap' WHEN sample > first THEN 'du
 # Contamination
 
 
-def _grouped_items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sql_items").filter("id is not null").withColumn("group_key", F.col("db_id"))
+def _all_items(spark: SparkSession, d: str) -> DataFrame:
+    return audit.all_items(table(spark, d, "sql_items"), table(spark, d, "qa_items"))
 
 
-RECORD_FLAGS = rf"""
-rq AS (SELECT DISTINCT id, regexp_replace(id, '#s[0-9]+$', '') AS item_id, coalesce(db_id, report) AS group_key,
-  regexp_extract(coalesce(list_filter(messages, lambda m: m.role = 'user')[-1].content, ''), '(?s)^(?:.*\n)?(?:Question|Q): ?([^\n]*)', 1) AS question FROM records WHERE id IS NOT NULL),
-ev AS (SELECT * FROM sql_items WHERE split IN ('dev', 'test') AND id IS NOT NULL),
-eg AS (SELECT DISTINCT array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM ev))),
-rg AS (SELECT DISTINCT id FROM (SELECT id, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT id, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM rq))) WHERE gram IN (SELECT gram FROM eg)),
-tr AS (SELECT id, max({NORM.format("question")}) AS tq FROM sql_items WHERE split = 'train' AND id IS NOT NULL GROUP BY id),
-fl AS (SELECT rq.id, rq.group_key, (tr.id IS NULL OR tr.tq IS DISTINCT FROM {NORM.format("rq.question")}) AS not_a_train_item,
-  rq.group_key IN (SELECT db_id FROM ev WHERE db_id IS NOT NULL) IS TRUE AS eval_group,
-  {NORM.format("rq.question")} IN (SELECT {NORM.format("question")} FROM ev WHERE question IS NOT NULL) AS exact,
-  rq.id IN (SELECT id FROM rg) AS ngram FROM rq LEFT JOIN tr ON rq.item_id = tr.id)"""
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _all_items(spark, d)
+    return rows.filter("split = 'train'"), rows.filter("split in ('dev', 'test')")
+
+
+ALL_ITEMS = f"""{ITEMS}, {QA}, al AS (SELECT id, split, 'sql' AS kind, db_id AS group_key, question, evidence, gold_sql, NULL::DOUBLE AS gold_num, NULL::VARCHAR AS gold_text FROM items
+  UNION ALL SELECT id, split, 'qa', report, question, NULL, NULL, gold_num, gold_text FROM qa),
+ev AS (SELECT * FROM al WHERE split IN ('dev', 'test')), tr AS (SELECT * FROM al WHERE split = 'train')"""
+_GRAM = "SELECT {keys}, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT {keys}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {keys}, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM {rows} UNION ALL SELECT {keys}, regexp_extract_all(lower(evidence), '[a-z0-9]+') FROM {rows} WHERE evidence IS NOT NULL))"
+_PROMPT = "coalesce(list_filter(messages, lambda m: m.role = 'user')[-1].content, '')"
+#: The answer of a text, as extract_answer; a comma between thousands becomes chr(1) first, in two passes as a match takes the digits around it.
+_CUT = r"regexp_replace({}, '([0-9]),([0-9]{{3}})([^0-9]|$)', '\1' || chr(1) || '\2\3', 'g')"
+_MARKS = "replace(" + _CUT.format(_CUT.format("translate({}, '−$', '-')").replace("{{", "{").replace("}}", "}")) + ", chr(1), '')"
+_NUM = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+
+
+def answer_ctes(rows: str, text: str, keys: str) -> str:
+    """CTEs that end in xa(keys, answer): the answers of a text column of rows."""
+    marks = lambda c: _MARKS.replace("{}", c)
+    return rf"""xb AS (SELECT {keys}, string_split({text}, '</think>')[-1] AS body FROM {rows}),
+xt AS (SELECT *, regexp_matches(body, '(?i)\banswer\s*:') AS marked, regexp_extract(body, '(?is)^.*\banswer\s*:(.*)$', 1) AS tail FROM xb),
+xl AS (SELECT *, regexp_extract(tail, '^([^\n]*)', 1) AS line, regexp_extract(tail, '^[^\n]*\n(?:[ \t*_`:#>\r]*\n)*([^\n]*)', 1) AS later FROM xt),
+xc AS (SELECT *, {marks("CASE WHEN regexp_matches(line, '^[ \t*_`:#>\r]*$') THEN later ELSE line END")} AS chosen, {marks("body")} AS whole FROM xl),
+xs AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(chosen, '\(\s*([0-9]+(?:\.[0-9]*)?|\.[0-9]+)\s*%?\s*\)', '-\1', 'g'), '(^|[^\w.)])-\s+(\.?[0-9])', '\1-\2', 'g'), '(^|[^\w.)])-\s+(\.?[0-9])', '\1-\2', 'g') AS signed FROM xc),
+xa AS (SELECT {keys}, regexp_replace(regexp_replace(CASE WHEN marked THEN nullif(lower(regexp_extract(signed, '(?i)\b(?:yes|no)\b|{_NUM}', 0)), '') ELSE regexp_extract_all(whole, '{_NUM}')[-1] END, '^\++', ''), '\.$', '') AS answer FROM xs)"""
+
+
+def score_case(p: str, y: str, gold: str) -> str:
+    """Whether an answer p is right, as score."""
+    x = f"TRY_CAST({p} AS DOUBLE)"
+    return rf"""CASE WHEN {p} IS NULL OR {p} = '' OR ({gold} IS NOT NULL AND {p} NOT IN ('yes', 'no')) THEN FALSE WHEN {gold} IS NOT NULL THEN {p} = {gold} WHEN NOT regexp_matches({p}, {NUMBER}) THEN FALSE WHEN {x} = 0 AND {y} <> 0 THEN FALSE
+  ELSE abs({x} - {y}) <= abs({y}) * 0.01 * (1 + 1e-9) OR (abs({y}) < 0.5 AND abs({x} - {y}) <= 0.005 * (1 + 1e-9)) OR abs({x} / 100 - {y}) <= abs({y}) * 0.01 * (1 + 1e-9) OR abs({x} * 100 - {y}) <= abs({y}) * 0.01 * (1 + 1e-9) END"""
+
+
+RECORD_FLAGS = rf"""{ALL_ITEMS},
+rq AS (SELECT DISTINCT id, regexp_replace(id, '#s[0-9]+$', '') AS item_id, CASE WHEN db_id IS NOT NULL THEN 'sql' WHEN report IS NOT NULL THEN 'qa' END AS kind, coalesce(db_id, report) AS group_key, response,
+  regexp_extract({_PROMPT}, '{text.QUESTION_PART}', 1) AS question, regexp_extract({_PROMPT}, '{text.EVIDENCE_PART}', 1) AS hint FROM records WHERE id IS NOT NULL),
+rj AS (SELECT rq.id, rq.item_id, coalesce(rq.kind, tr.kind) AS kind, rq.group_key, rq.question, CASE WHEN lower({STRIP.format("hint").replace("{{", "{").replace("}}", "}")}) = 'none' THEN '' ELSE hint END AS evidence, response,
+  tr.id IS NOT NULL AS known, tr.group_key AS t_group, tr.question AS t_question, tr.gold_num, tr.gold_text FROM rq LEFT JOIN tr ON rq.item_id = tr.id),
+eg AS (SELECT DISTINCT kind, gram FROM ({_GRAM.format(keys="kind", rows="ev")})),
+rg AS (SELECT DISTINCT id FROM ({_GRAM.format(keys="id, kind", rows="rj")}) JOIN eg USING (kind, gram)),
+{answer_ctes("rj", "response", "id, response")},
+fl AS (SELECT rj.id, rj.kind, rj.group_key, (NOT known OR t_group IS DISTINCT FROM rj.group_key OR {NORM.format("t_question")} IS DISTINCT FROM {NORM.format("rj.question")}) AS not_a_train_item,
+  (rj.kind, rj.group_key) IN (SELECT (kind, group_key) FROM ev WHERE group_key IS NOT NULL) IS TRUE OR (rj.kind = 'qa' AND t_group IN (SELECT group_key FROM ev WHERE kind = 'qa' AND group_key IS NOT NULL) IS TRUE) AS eval_group,
+  (rj.kind, {NORM.format("rj.question")}) IN (SELECT (kind, {NORM.format("question")}) FROM ev WHERE question IS NOT NULL) IS TRUE AS exact,
+  rj.id IN (SELECT id FROM rg) AS ngram,
+  CASE WHEN rj.kind = 'qa' THEN NOT known OR NOT coalesce({score_case("answer", "gold_num", "gold_text")}, FALSE) END AS reverify_failed
+  FROM rj LEFT JOIN (SELECT DISTINCT id, response, answer FROM xa) a ON rj.id = a.id AND rj.response IS NOT DISTINCT FROM a.response)"""
+_RULES = ("not_a_train_item", "eval_group", "exact", "ngram", "reverify_failed")
 
 
 @query(f"WITH {RECORD_FLAGS} SELECT group_key, count(*) AS records, count(*) FILTER (exact) AS exact, count(*) FILTER (ngram) AS ngram FROM fl GROUP BY group_key")
 def contamination_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.contamination(table(spark, d, "records"), _grouped_items(spark, d))
+    return audit.contamination(table(spark, d, "records"), _all_items(spark, d))
 
 
-@query(f"WITH {RECORD_FLAGS} SELECT count(*) AS records, count(*) FILTER (not_a_train_item) AS not_a_train_item, count(*) FILTER (eval_group) AS eval_group, count(*) FILTER (exact) AS exact, count(*) FILTER (ngram) AS ngram FROM fl")
+@query(f"WITH {RECORD_FLAGS} SELECT count(*) AS records, {', '.join(f'count(*) FILTER ({r}) AS {r}' for r in _RULES)} FROM fl")
 def audit_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.rule_counts(audit.record_flags(table(spark, d, "records"), _grouped_items(spark, d)))
+    return audit.rule_counts(audit.record_flags(table(spark, d, "records"), _all_items(spark, d)))
 
 
-@query(f"""WITH {RECORD_FLAGS}, e AS (SELECT 'not_a_train_item' AS rule, id FROM fl WHERE not_a_train_item UNION ALL SELECT 'eval_group', id FROM fl WHERE eval_group UNION ALL SELECT 'exact', id FROM fl WHERE exact UNION ALL SELECT 'ngram', id FROM fl WHERE ngram)
+@query(f"""WITH {RECORD_FLAGS}, e AS ({' UNION '.join(f"SELECT '{r}' AS rule, id FROM fl WHERE {r}" for r in _RULES)})
 SELECT rule, id FROM e QUALIFY row_number() OVER (PARTITION BY rule ORDER BY id) <= 5""")
 def audit_examples(spark: SparkSession, d: str) -> DataFrame:
-    return audit.rule_examples(audit.record_flags(table(spark, d, "records"), _grouped_items(spark, d)))
-
+    return audit.rule_examples(audit.record_flags(table(spark, d, "records"), _all_items(spark, d)))
 
-GRAMS = """grams AS (SELECT id, split, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT id, split, w, unnest(range(1, len(w) - 11)) AS i FROM (
-  SELECT id, split, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM sql_items UNION ALL SELECT id, split, regexp_extract_all(lower(evidence), '[a-z0-9]+') FROM sql_items WHERE evidence IS NOT NULL))),
-shared AS (SELECT id, count(DISTINCT gram) AS shared FROM grams WHERE split = 'train' AND gram IN (SELECT gram FROM grams WHERE split IN ('dev', 'test')) GROUP BY id)"""
-EXACT = f"ex AS (SELECT DISTINCT id FROM sql_items WHERE split = 'train' AND question IS NOT NULL AND {NORM.format('question')} IN (SELECT {NORM.format('question')} FROM sql_items WHERE split IN ('dev', 'test') AND question IS NOT NULL))"
 
-
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "sql_items").filter("id is not null")
-    return rows.filter("split = 'train'"), rows.filter("split in ('dev', 'test')")
+GRAMS = f"""{ALL_ITEMS}, shared AS (SELECT id, count(DISTINCT gram) AS shared FROM ({_GRAM.format(keys="id, kind", rows="tr")}) JOIN (SELECT DISTINCT kind, gram FROM ({_GRAM.format(keys="kind", rows="ev")})) USING (kind, gram) GROUP BY id)"""
+EXACT = f"ex AS (SELECT DISTINCT id FROM tr WHERE question IS NOT NULL AND (kind, {NORM.format('question')}) IN (SELECT (kind, {NORM.format('question')}) FROM ev WHERE question IS NOT NULL))"
 
 
 @query(f"WITH {GRAMS} SELECT id, shared FROM shared")
 def overlap_ngram13(spark: SparkSession, d: str) -> DataFrame:
-    return audit.sharing(*_split(spark, d))
+    return audit.sharing(*_sides(spark, d), within=("kind",))
 
 
-@query(f"WITH {EXACT} SELECT id FROM ex")
+@query(f"WITH {ALL_ITEMS}, {EXACT} SELECT id FROM ex")
 def overlap_exact(spark: SparkSession, d: str) -> DataFrame:
-    return audit.repeating(*_split(spark, d))
+    return audit.repeating(*_sides(spark, d), within=("kind",))
 
 
-@query(f"WITH {GRAMS}, {EXACT} SELECT id, db_id, question FROM sql_items WHERE split = 'train' AND id NOT IN (SELECT id FROM ex) AND id NOT IN (SELECT id FROM shared)")
+@query(f"WITH {GRAMS}, {EXACT} SELECT id, group_key, question FROM tr WHERE id NOT IN (SELECT id FROM ex) AND id NOT IN (SELECT id FROM shared)")
 def decontaminated_items(spark: SparkSession, d: str) -> DataFrame:
-    return audit.clean_rows(*_split(spark, d)).select("id", "db_id", "question")
+    return audit.clean_rows(*_sides(spark, d), within=("kind",)).select("id", "group_key", "question")
 
 
-@query(f"""WITH {GRAMS}, {EXACT}, t AS (SELECT DISTINCT id FROM sql_items WHERE split = 'train')
+@query(f"""WITH {GRAMS}, {EXACT}
 SELECT count(*) AS rows, count(*) FILTER (id IN (SELECT id FROM ex)) AS exact, count(*) FILTER (id IN (SELECT id FROM shared) AND id NOT IN (SELECT id FROM ex)) AS ngram_only,
-  count(*) FILTER (id NOT IN (SELECT id FROM shared) AND id NOT IN (SELECT id FROM ex)) AS kept FROM t""")
+  count(*) FILTER (id NOT IN (SELECT id FROM shared) AND id NOT IN (SELECT id FROM ex)) AS kept FROM tr""")
 def removed_counts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.removed_counts(*_split(spark, d))
+    return audit.removed_counts(*_sides(spark, d), within=("kind",))
 
 
-@query("""WITH n AS (SELECT DISTINCT split, db_id FROM sql_items WHERE db_id IS NOT NULL AND split IS NOT NULL)
-SELECT a.split AS split_a, b.split AS split_b, count(*) AS groups FROM n a JOIN n b ON a.db_id = b.db_id AND a.split < b.split GROUP BY 1, 2""")
+@query(f"""WITH {ALL_ITEMS}, n AS (SELECT DISTINCT kind, split, group_key FROM al WHERE group_key IS NOT NULL AND split IS NOT NULL)
+SELECT a.kind, a.split AS split_a, b.split AS split_b, count(*) AS groups FROM n a JOIN n b ON a.kind = b.kind AND a.group_key = b.group_key AND a.split < b.split GROUP BY 1, 2, 3""")
 def shared_groups(spark: SparkSession, d: str) -> DataFrame:
-    return audit.shared_groups(_grouped_items(spark, d))
+    return audit.shared_groups(_all_items(spark, d))
 
 
-@query("""SELECT DISTINCT id FROM records WHERE id IN (SELECT id FROM sql_items WHERE split <> 'train') OR regexp_replace(id, '#s[0-9]+$', '') IN (SELECT id FROM sql_items WHERE split <> 'train')""")
+@query("""WITH i AS (SELECT id, split FROM sql_items UNION ALL SELECT id, split FROM qa_items), r AS (SELECT id FROM records UNION ALL SELECT id FROM graded)
+SELECT DISTINCT id FROM r WHERE id IN (SELECT id FROM i WHERE split <> 'train') OR regexp_replace(id, '#s[0-9]+$', '') IN (SELECT id FROM i WHERE split <> 'train')""")
 def leaked_ids(spark: SparkSession, d: str) -> DataFrame:
-    return audit.leaked_ids(table(spark, d, "records"), _split(spark, d)[1])
+    """Ids of the records and of the graded answers (which hold evaluation items) that an evaluation item has."""
+    ids = table(spark, d, "records").select("id").unionByName(table(spark, d, "graded").select("id"))
+    return audit.leaked_ids(ids, _sides(spark, d)[1])
 
 
 @query(f"SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY {NORM.format('text')} HAVING count(*) > 1")
@@ -433,7 +467,7 @@ def numeric_score(spark: SparkSession, d: str) -> DataFrame:
     return grading.numeric_grades(_graded(spark, d).select("id", "sample", "pred_answer"), _qa(spark, d))
 
 
-@query()
+@query(f"""WITH {CHOICES}, xr AS (SELECT ch.id, sample, content FROM ch WHERE ch.id IN (SELECT id FROM qa_items)), {answer_ctes("xr", "content", "id, sample")} SELECT id, sample, answer FROM xa""")
 def extract_numeric_answer(spark: SparkSession, d: str) -> DataFrame:
     each = selection.choices(_generations(spark, d)).join(_qa(spark, d).select("id"), "id", "left_semi")
     return each.select("id", "sample", numbers.extract_answer(F.col("content")).alias("answer"))
@@ -506,10 +540,10 @@ def train_only_groups(spark: SparkSession, d: str) -> DataFrame:
     return prompts.without_groups_of(rows.filter("split = 'train'"), rows.filter("split <> 'train'"), "db_id").select("id", "db_id")
 
 
-@query(rf"""SELECT id, regexp_extract(coalesce(list_filter(messages, lambda m: m.role = 'user')[-1].content, ''), '(?s)^(?:.*\n)?(?:Question|Q): ?([^\n]*)', 1) AS question FROM (SELECT DISTINCT id, messages FROM records WHERE id IS NOT NULL)""")
+@query(rf"""SELECT id, regexp_extract({_PROMPT}, '{text.QUESTION_PART}', 1) AS question, regexp_extract({_PROMPT}, '{text.EVIDENCE_PART}', 1) AS evidence FROM (SELECT DISTINCT id, messages FROM records WHERE id IS NOT NULL)""")
 def prompt_questions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "records").filter("id is not null").select("id", "messages").distinct()
-    return rows.select("id", text.question_of(audit.last_user_text()).alias("question"))
+    return rows.select("id", text.question_of(audit.last_user_text()).alias("question"), F.regexp_extract(audit.last_user_text(), text.EVIDENCE_PART, 1).alias("evidence"))
 
 
 # Batches
