@@ -31,14 +31,14 @@ def per_question(graded: DataFrame) -> DataFrame:
 def summary(graded: DataFrame) -> DataFrame:
     """One row: questions, rows, accuracy of the first samples, and the mean over questions of their mean, in percent. No rows give zero counts and nulls."""
     q = per_question(graded)
-    return q.agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.round(F.avg(F.col("first_correct").cast("int")) * 100, 6).alias("accuracy_first"), F.round(F.avg(F.col("n_correct") / F.col("n")) * 100, 6).alias("accuracy_mean"))
+    return q.agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.bround(F.avg(F.col("first_correct").cast("int")) * 100, 6).alias("accuracy_first"), F.bround(F.avg(F.col("n_correct") / F.col("n")) * 100, 6).alias("accuracy_mean"))
 
 
 def by_group(graded: DataFrame, items: DataFrame, column: str, unnamed: str = "all") -> DataFrame:
     """(column, questions, accuracy_first): null and empty groups, and questions without an item, count as unnamed."""
     groups = items.groupBy("id").agg(F.max(column).alias("g"))
     q = per_question(graded).join(groups, "id", "left")
-    return q.groupBy(F.coalesce(F.nullif(F.col("g"), F.lit("")), F.lit(unnamed)).alias(column)).agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("first_correct").cast("int")) * 100, 6).alias("accuracy_first"))
+    return q.groupBy(F.coalesce(F.nullif(F.col("g"), F.lit("")), F.lit(unnamed)).alias(column)).agg(F.count(F.lit(1)).alias("questions"), F.bround(F.avg(F.col("first_correct").cast("int")) * 100, 6).alias("accuracy_first"))
 
 
 def failures(graded: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def failures(graded: DataFrame) -> DataFrame:
 def pass_at_k(graded: DataFrame) -> DataFrame:
     """One row: questions, pass@1 (mean over questions), pass@k of all samples, and the shares of mixed, all right and all wrong questions, in percent."""
     q = per_question(graded)
-    share = lambda condition, name: F.round(F.avg(condition.cast("int")) * 100, 6).alias(name)
+    share = lambda condition, name: F.bround(F.avg(condition.cast("int")) * 100, 6).alias(name)
     n, c = F.col("n"), F.col("n_correct")
-    return q.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(c / n) * 100, 6).alias("pass_1"), share(c > 0, "pass_k"), share((c > 0) & (c < n), "mixed"), share(c == n, "all_correct"), share(c == 0, "all_wrong"), F.array_sort(F.collect_set("n")).alias("sample_counts"))
+    return q.agg(F.count(F.lit(1)).alias("questions"), F.bround(F.avg(c / n) * 100, 6).alias("pass_1"), share(c > 0, "pass_k"), share((c > 0) & (c < n), "mixed"), share(c == n, "all_correct"), share(c == 0, "all_wrong"), F.array_sort(F.collect_set("n")).alias("sample_counts"))
 
 
 def scores(graded: DataFrame, mean: bool = False) -> DataFrame:
@@ -76,9 +76,9 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
     """One row: questions, both accuracies, their difference in points, wins and losses."""
     return pairs.agg(
         F.count(F.lit(1)).alias("questions"),
-        F.round(F.avg("score_a") * 100, 6).alias("accuracy_a"),
-        F.round(F.avg("score_b") * 100, 6).alias("accuracy_b"),
-        F.round(F.avg("diff") * 100, 6).alias("delta"),
+        F.bround(F.avg("score_a") * 100, 6).alias("accuracy_a"),
+        F.bround(F.avg("score_b") * 100, 6).alias("accuracy_b"),
+        F.bround(F.avg("diff") * 100, 6).alias("delta"),
         F.count_if(F.col("diff") > 0).alias("wins"),
         F.count_if(F.col("diff") < 0).alias("losses"),
     )

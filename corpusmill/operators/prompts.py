@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import joined_lines, normalize_text, table_lines
+from ..functions.text import joined_lines, table_lines
 
 SQL_SYSTEM = "You write correct SQLite queries."
 SQL_TEMPLATE = "Tables of the database:\n{schema}\n\nHint: {evidence}\n\nQuestion: {question}\n\nWork in short steps and finish with one SQLite query."
@@ -83,13 +83,13 @@ def check_splits(splits: list[str], own: str, known: tuple[str, ...] = ("train",
             raise ValueError(f"{s!r} is the split being written")
 
 
-def correction_prompts(failed: DataFrame, prompts: DataFrame, answers: DataFrame, template: str = "{original}\n\nYour answer was:\n{answer}\n\nIt {feedback}.\n\nGive a corrected answer.") -> DataFrame:
+def correction_prompts(failed: DataFrame, prompts: DataFrame, answers: DataFrame, template: str = "{original}\n\nYour answer was:\n{answer}\n\n{feedback}\n\nGive a corrected answer.") -> DataFrame:
     """(id, source_sample, student_response, messages) for failed samples; questions without a prompt or answer are skipped.
 
     answers: (id, sample, content, feedback).
     """
     joined = failed.select("id", "sample").join(prompts.select("id", "messages"), "id").join(answers.select("id", "sample", "content", "feedback"), ["id", "sample"])
-    user = fill(template, original=F.element_at("messages", -1).content, answer=F.col("content"), feedback=F.coalesce("feedback", F.lit("was wrong")))
+    user = fill(template, original=F.element_at("messages", -1).content, answer=F.col("content"), feedback=F.coalesce("feedback", F.lit("The answer is wrong.")))
     head = F.slice("messages", 1, F.size("messages") - 1)
     return joined.select("id", F.col("sample").alias("source_sample"), F.col("content").alias("student_response"), F.concat(head, F.array(F.struct(F.lit("user").alias("role"), user.alias("content")))).alias("messages"))
 
@@ -100,8 +100,3 @@ def gold_leaks(corrections: DataFrame, gold: DataFrame) -> DataFrame:
     last = F.replace(F.element_at("messages", -1).content, F.col("student_response"), F.lit(""))
     earlier = F.exists(F.slice("messages", 1, F.size("messages") - 1), lambda m: m.content.contains(F.col("gold")))
     return joined.filter((F.col("gold") != "") & (last.contains(F.col("gold")) | earlier)).select("id")
-
-
-def question_words(items: DataFrame) -> DataFrame:
-    """(id, question_normalized)."""
-    return items.select("id", normalize_text(F.col("question")).alias("question_normalized"))

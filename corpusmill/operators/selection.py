@@ -18,8 +18,8 @@ def generations_once(generations: DataFrame) -> DataFrame:
 
 
 def repeated_generations(generations: DataFrame) -> DataFrame:
-    """(id, rows) of ids with more than one distinct row with choices: what a strict load refuses."""
-    return generations.filter(F.size("choices") > 0).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    """(id, rows) of ids with more than one row with choices, equal rows included: what a strict load refuses."""
+    return generations.filter(F.size("choices") > 0).groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
 def choices(generations: DataFrame) -> DataFrame:
@@ -74,19 +74,22 @@ def candidates(graded: DataFrame, generations: DataFrame, cap: int = 2) -> DataF
 
 
 def selection_counts(graded: DataFrame, generations: DataFrame, cap: int = 2) -> DataFrame:
-    """One row of counters along the drops, in the order in which they apply."""
-    rows = answered(graded, generations)
-    flags = marked(rows.filter(usable()), cap).groupBy("status").count()
-    status = flags.agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("count"))), F.lit(0)).alias(n) for s, n in (("duplicate", "dropped_duplicate"), ("over_cap", "dropped_over_cap"), ("kept", "candidates"))])
-    first = rows.agg(
+    """One row of counters along the drops, in the order in which they apply; one pass over the joined answers."""
+    rows = answered(graded, generations).withColumn("usable", usable())
+    # answers that are dropped before share no window with those that aren't
+    status = marked(rows.withColumn("id", F.when(F.col("usable"), F.col("id")).otherwise(F.concat_ws(":", F.lit("-"), "id", "sample"))), cap)
+    inside = ~F.col("outside")
+    sound = inside & ~F.col("truncated")
+    count = lambda condition, name: F.count_if(condition).alias(name)
+    counts = status.agg(
         F.count(F.lit(1)).alias("correct_rows"),
-        F.count_if("outside").alias("outside_choices"),
-        F.count_if(F.col("truncated") & ~F.col("outside")).alias("dropped_truncated"),
-        F.count_if(F.col("prefixed") & ~F.col("truncated") & ~F.col("outside")).alias("normalized_prefix"),
-        F.count_if(F.col("markup") & ~F.col("truncated") & ~F.col("outside")).alias("dropped_markup"),
+        count(F.col("outside"), "outside_choices"),
+        count(inside & F.col("truncated"), "dropped_truncated"),
+        count(sound & F.col("prefixed"), "normalized_prefix"),
+        count(sound & F.col("markup"), "dropped_markup"),
+        *[count(F.col("usable") & (F.col("status") == s), n) for s, n in (("duplicate", "dropped_duplicate"), ("over_cap", "dropped_over_cap"), ("kept", "candidates"))],
     )
-    total = graded.agg(F.count(F.lit(1)).alias("graded_rows"))
-    return side_by_side(total, first, status)
+    return side_by_side(graded.agg(F.count(F.lit(1)).alias("graded_rows")), counts)
 
 
 def seeded_key(seed: int, *keys: Column) -> Column:
@@ -149,10 +152,15 @@ def first_failed(graded: DataFrame) -> DataFrame:
     return wrong.groupBy("id").agg(F.min(F.struct("sample", "error")).alias("f")).select("id", "f.sample", "f.error")
 
 
+#: The error of an item that has no graded row, by kind of question.
+ABSENT = {"sql": "no_sql", "qa": "no_answer"}
+
+
 def covered(graded: DataFrame, items: DataFrame, splits: tuple[str, ...] = ("dev",)) -> DataFrame:
-    """(id, sample, correct, error) with a wrong sample 0 for each item of the full-coverage splits that has no graded row."""
-    absent = items.filter(F.col("split").isin(*splits) & F.col("id").isNotNull()).select("id").distinct().join(graded, "id", "left_anti")
-    return graded.select("id", "sample", is_correct().alias("correct"), "error").unionByName(absent.select("id", F.lit(0).alias("sample"), F.lit(False).alias("correct"), F.lit("no_answer").alias("error")))
+    """(id, sample, correct, error) with a wrong sample 0 for each item (id, split, kind) of the full-coverage splits that has no graded row."""
+    error = F.when(F.col("kind") == "sql", ABSENT["sql"]).otherwise(ABSENT["qa"])
+    absent = items.filter(F.col("split").isin(*splits) & F.col("id").isNotNull()).groupBy("id").agg(F.max("kind").alias("kind")).join(graded, "id", "left_anti")
+    return graded.select("id", "sample", is_correct().alias("correct"), "error").unionByName(absent.select("id", F.lit(0).alias("sample"), F.lit(False).alias("correct"), error.alias("error")))
 
 
 def to_do(items: DataFrame, generations: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def graded_answers(generations: DataFrame, task: Task) -> DataFrame:
 def grade_numeric(generations: DataFrame, items: DataFrame, task: Task) -> DataFrame:
     """Graded rows of numeric answers, with a wrong row for each item of a full-coverage split that has no answer."""
     rows = grading.numeric_grades(graded_answers(generations, task).withColumnRenamed(task.prediction_key, "pred_answer"), items)
-    return selection.covered(rows, items, task.full_coverage)
+    return selection.covered(rows, items.withColumn("kind", F.lit(task.name)), task.full_coverage)
 
 
 def check_prompts(prompts: DataFrame, forbidden: list[str], group: str) -> None:
@@ -62,18 +62,35 @@ def check_predictions(graded: DataFrame, generations: DataFrame, task: Task) ->
         raise ValueError("graded predictions differ from the generated answers")
 
 
-def build_supervised(graded: DataFrame, generations: DataFrame, prompts: DataFrame, *, cap: int | None = 2, n: int | None = None, seed: int = 0, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, counts): distinct capped correct answers, exactly n of them if given, with their prompts."""
+def check_inputs(graded: DataFrame, generations: DataFrame, prompts: DataFrame, task: Task, forbidden: list[str]) -> None:
+    """All checks of a selection's inputs; the first that fails raises. forbidden: the groups of the evaluation splits."""
+    check_prompts(prompts, forbidden, task.group_key)
+    if selection.repeated_generations(generations).limit(1).count():
+        raise ValueError("ids with more than one generation")
+    check_graded(graded, prompts, generations)
+    check_predictions(graded, generations, task)
+
+
+def build_supervised(graded: DataFrame, generations: DataFrame, prompts: DataFrame, *, task: Task, forbidden: list[str], cap: int | None = 2, n: int | None = None, seed: int = 0, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, counts): distinct capped correct answers, exactly n of them if given, with their prompts. Broken inputs raise (check_inputs).
+
+    exclude: groups whose answers are left out; counts has how many right answers that dropped and how many records are written.
+    """
+    check_inputs(graded, generations, prompts, task, forbidden)
     most = cap if cap is not None else 1 << 30
-    rows = graded if not exclude else graded.filter(F.coalesce(~selection.group_name().isin(exclude), F.lit(True)))
+    dropped = F.coalesce(selection.group_name().isin(exclude), F.lit(False)) if exclude else F.lit(False)
+    rows = graded.filter(~dropped)
     chosen = selection.candidates(rows, generations, most)
     if n is not None:
         chosen = selection.exact_sample(chosen, n, seed)
-    return selection.training_records(chosen, prompts), selection.selection_counts(rows, generations, most)
+    excluded = graded.filter(dropped & metrics.is_correct()).agg(F.count(F.lit(1)).alias("dropped_excluded"))
+    counts = metrics.side_by_side(selection.selection_counts(rows, generations, most), excluded, chosen.agg(F.count(F.lit(1)).alias("written")))
+    return selection.training_records(chosen, prompts), counts
 
 
-def build_rollouts(graded: DataFrame, generations: DataFrame, prompts: DataFrame, *, samples: int, groups: int | None = None, seed: int = 0) -> DataFrame:
-    """(id, messages, response, group_id, reward) of mixed groups, of a seeded number of them if given."""
+def build_rollouts(graded: DataFrame, generations: DataFrame, prompts: DataFrame, *, task: Task, forbidden: list[str], samples: int, groups: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, messages, response, group_id, reward) of mixed groups, of a seeded number of them if given. Broken inputs raise (check_inputs)."""
+    check_inputs(graded, generations, prompts, task, forbidden)
     mixed = selection.mixed_groups(graded, generations, samples).select("id")
     if groups is not None:
         mixed = selection.exact_sample(mixed, groups, seed, keys=("id",), strict=False)
@@ -82,9 +99,9 @@ def build_rollouts(graded: DataFrame, generations: DataFrame, prompts: DataFrame
     return joined.select(F.concat("id", F.lit("#s"), F.col("sample").cast("string")).alias("id"), "messages", "response", F.col("id").alias("group_id"), "reward")
 
 
-def audit_records(records: DataFrame, items: DataFrame, out: str | None = None) -> tuple[dict, bool]:
+def audit_records(records: DataFrame, items: DataFrame, out: str | None = None, databases: DataFrame | None = None) -> tuple[dict, bool]:
     """(report, clean): counts and first examples of each audit rule; with out they are written as JSON lines and a manifest."""
-    flags = audit.record_flags(records, items).persist()
+    flags = audit.record_flags(records, items, databases=databases).persist()
     counts = audit.rule_counts(flags)
     report = counts.first().asDict()
     examples = audit.rule_examples(flags)

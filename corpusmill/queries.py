@@ -13,6 +13,7 @@ from .functions import numbers, text
 from .operators import accounting, advantage, audit, batching, grading, metrics, prompts, selection
 from .session import ensure_checkpoint_dir, table
 from .streaming import streams
+from .tasks.registry import get_task
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -303,9 +304,11 @@ def first_failed_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {G} SELECT id, sample, correct IS TRUE AS correct, error FROM g
-UNION ALL SELECT DISTINCT id, 0, FALSE, 'no_answer' FROM sql_items WHERE split = 'dev' AND id IS NOT NULL AND id NOT IN (SELECT id FROM g)""")
+UNION ALL SELECT DISTINCT id, 0, FALSE, 'no_sql' FROM sql_items WHERE split = 'dev' AND id IS NOT NULL AND id NOT IN (SELECT id FROM g)
+UNION ALL SELECT DISTINCT id, 0, FALSE, 'no_answer' FROM qa_items WHERE split IN ('dev', 'test') AND id IS NOT NULL AND id NOT IN (SELECT id FROM g)""")
 def full_coverage_union(spark: SparkSession, d: str) -> DataFrame:
-    return selection.covered(_graded(spark, d), table(spark, d, "sql_items"))
+    of = lambda name: table(spark, d, f"{name}_items").filter(F.col("split").isin(*get_task(name).full_coverage)).select("id", "split", F.lit(name).alias("kind"))
+    return selection.covered(_graded(spark, d), of("sql").unionByName(of("qa")), ("dev", "test"))
 
 
 @query("SELECT DISTINCT id FROM (SELECT id FROM sql_items UNION ALL SELECT id FROM qa_items) WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM generations WHERE len(choices) > 0 AND id IS NOT NULL)")
@@ -314,7 +317,7 @@ def resume_todo(spark: SparkSession, d: str) -> DataFrame:
     return selection.to_do(ids, table(spark, d, "generations"))
 
 
-@query("SELECT id, count(*) AS rows FROM (SELECT DISTINCT * FROM generations WHERE len(choices) > 0) GROUP BY id HAVING count(*) > 1")
+@query("SELECT id, count(*) AS rows FROM generations WHERE len(choices) > 0 GROUP BY id HAVING count(*) > 1")
 def repeated_generations(spark: SparkSession, d: str) -> DataFrame:
     return selection.repeated_generations(table(spark, d, "generations"))
 
@@ -411,9 +414,11 @@ def serving_levels(spark: SparkSession, d: str) -> DataFrame:
     return accounting.serving_levels(_requests(spark, d), "endpoint")
 
 
-@query(f"WITH {LEVELS} SELECT endpoint, req_per_s FROM lv WHERE errors = 0 ORDER BY req_per_s DESC, endpoint LIMIT 1")
+@query(f"WITH {LEVELS.replace('SELECT DISTINCT id, endpoint, ', 'SELECT DISTINCT id, endpoint || chr(64) || floor(started_at / 600)::BIGINT::VARCHAR AS endpoint, ')} SELECT endpoint, req_per_s FROM lv WHERE errors = 0 AND wall_s > 0 ORDER BY req_per_s DESC, endpoint LIMIT 1")
 def best_level(spark: SparkSession, d: str) -> DataFrame:
-    return accounting.best_level(accounting.serving_levels(_requests(spark, d), "endpoint"), "endpoint").select("endpoint", "req_per_s")
+    """The best ten minutes of an endpoint without an error."""
+    named = F.concat(F.col("endpoint"), F.lit("@"), F.floor(F.col("started_at") / 600).cast("string"))
+    return accounting.best_level(accounting.serving_levels(_requests(spark, d).withColumn("endpoint", named), "endpoint").filter("wall_s > 0"), "endpoint").select("endpoint", "req_per_s")
 
 
 @query("""WITH o AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
@@ -485,11 +490,22 @@ def extract_code_block(spark: SparkSession, d: str) -> DataFrame:
     return each.select("id", "sample", text.extract_sql(F.col("content")).alias("code"))
 
 
-@query(f"WITH {QA} SELECT count(*) AS items, count(*) AS correct FROM qa")
+GOLDS = f"""{QA}, go AS (SELECT id, split, gold_num, gold_text, coalesce(gold_text, printf('%.17g', gold_num)) AS gold FROM qa), {score_case("x", "y", "t").join(["gs AS (SELECT id, ", " AS correct FROM (SELECT id, gold AS x, gold_num AS y, gold_text AS t FROM go))"])}"""
+
+
+@query(f"WITH {GOLDS} SELECT count(*) AS items, count(*) FILTER (correct) AS correct FROM gs")
 def gold_control(spark: SparkSession, d: str) -> DataFrame:
     return grading.gold_control(_qa(spark, d)).agg(F.count(F.lit(1)).alias("items"), F.count_if("correct").alias("correct"))
 
 
+@query(f"""WITH {GOLDS}, n AS (SELECT *, CASE WHEN gold_text IS NOT NULL THEN gold_text ELSE printf('%.9e', gold_num + 0.0) END AS key FROM go),
+k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5(key), key) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT coalesce(split, '') AS g, key FROM n)),
+j AS (SELECT n.id, n.split, n.key AS gold, o.key AS x, gold_num AS y, gold_text AS t FROM n JOIN k ON coalesce(n.split, '') = k.g AND n.key = k.key JOIN k o ON o.g = k.g AND o.r = (k.r + 1) % k.n WHERE k.n > 1)
+SELECT id, split, gold, x AS other, {score_case("x", "y", "t")} AS correct FROM j""")
+def numeric_shuffled_control(spark: SparkSession, d: str) -> DataFrame:
+    return grading.numeric_shuffled_control(_qa(spark, d))
+
+
 @query(f"""WITH n AS (SELECT id, min(coalesce(db_id, '')) AS g, min(trim(gold_sql, ' ')) AS gold FROM sql_items WHERE id IS NOT NULL AND gold_sql IS NOT NULL GROUP BY id),
 k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5(gold), gold) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT g, gold FROM n))
 SELECT n.id, n.gold, o.gold AS other FROM n JOIN k ON n.g = k.g AND n.gold = k.gold JOIN k o ON o.g = k.g AND o.r = (k.r + 1) % k.n WHERE k.n > 1""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,38 +54,46 @@ def windowed_accuracy(graded: DataFrame, time: str = "loaded_at", window: str =
 STATE = "started long, last long, pings long"
 
 
+def _runs(times: np.ndarray, good: np.ndarray, limit: int) -> np.ndarray:
+    """The number of the run of each ping in order; a new one begins at a failed ping, behind one, and behind a gap of more than limit seconds."""
+    begins = np.ones(len(times), dtype=bool)
+    begins[1:] = ~good[1:] | ~good[:-1] | (np.diff(times) > limit)
+    return np.cumsum(begins)
+
+
 def uptime_stream(pings: DataFrame, group: str = "endpoint", interval_s: int = 300) -> DataFrame:
-    """(group, started_s, ended_s, pings, seconds) of up-time runs, written when a run ends: by a failed ping, a gap, or silence of two intervals.
+    """(group, started_s, ended_s, pings, seconds) of up-time runs, written when a run has ended: by a failed ping, a gap, or silence of two intervals.
 
-    pings: group, ts, ok, with a watermark on ts; the pings of one group in a batch are taken in time order, failed ones first.
+    pings: group, ts, ok, with a watermark on ts. The state is the open run; it comes before a batch's pings as one of them (a late
+    ping counts at the time of the run's last), so a batch is cut into runs in one piece and its last good run is the next state.
     """
     limit = 2 * interval_s
+    columns = [group, "started_s", "ended_s", "pings", "seconds"]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        out = []
-        current = list(state.get) if state.exists else None
-
-        def close() -> None:
-            if current:
-                out.append((key[0], current[0], current[1], current[2], float(current[1] - current[0] + interval_s)))
+    def table(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({group: key[0], "started_s": runs["started"], "ended_s": runs["last"], "pings": runs["pings"], "seconds": (runs["last"] - runs["started"] + interval_s).astype(float)}, columns=columns)
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([state.get] if state.exists else [], columns=["started", "last", "pings"]).astype("int64")
         if state.hasTimedOut:
-            close()
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "ok"])
-            for t, ok in zip(rows["ts"].astype("int64") // 10**9 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].map(lambda x: int(x.timestamp())), rows["ok"], strict=True):
-                if current and bool(ok) and t - current[1] <= limit:
-                    current[1], current[2] = int(t), current[2] + 1
-                    continue
-                close()
-                current = [int(t), int(t), 1] if bool(ok) else None
-            if current:
-                state.update(tuple(current))
-                state.setTimeoutTimestamp((current[1] + limit + 1) * 1000)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=[group, "started_s", "ended_s", "pings", "seconds"])
+            yield table(key, held)
+            return
+        new = pd.concat(list(batches)).sort_values(["ts", "ok"])
+        at = (pd.to_datetime(new["ts"]) - pd.Timestamp(0)) // pd.Timedelta(seconds=1)
+        at = np.maximum(at.to_numpy(dtype="int64"), held["last"].max() if len(held) else np.iinfo("int64").min)
+        rows = pd.concat([held.assign(ok=True), pd.DataFrame({"started": at, "last": at, "pings": 1, "ok": new["ok"].to_numpy(dtype=bool)})], ignore_index=True)
+        good = rows["ok"].to_numpy(dtype=bool)
+        rows["run"] = _runs(rows["last"].to_numpy(), good, limit)
+        runs = rows[good].groupby("run").agg(started=("started", "first"), last=("last", "last"), pings=("pings", "sum"))
+        if good[-1]:
+            started, last, count = (int(x) for x in runs.iloc[-1])
+            state.update((started, last, count))
+            state.setTimeoutTimestamp((last + limit + 1) * 1000)
+            runs = runs.iloc[:-1]
+        elif state.exists:
+            state.remove()
+        yield table(key, runs)
 
     return pings.groupBy(group).applyInPandasWithState(step, f"{group} string, started_s long, ended_s long, pings long, seconds double", STATE, "append", "EventTimeTimeout")
 

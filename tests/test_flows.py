@@ -1,6 +1,8 @@
 import datetime as dt
+import io
 import json
 import os
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,9 +95,19 @@ def test_checks(spark):
     with pytest.raises(ValueError, match="differ"):
         flows.check_predictions(spark.createDataFrame([("train-1", 0, True, "SELECT 2")], g), made, get_task("sql"))
     rows = ok.withColumns({"pred_answer": F.lit(None).cast("string"), "db_id": F.lit("d"), "report": F.lit(None).cast("string"), "error": F.lit("")})
-    records, counts = flows.build_supervised(rows, made, prompts, cap=None, n=1)
-    assert [r.id for r in records.collect()] == ["train-1#s0"] and counts.first().candidates == 1
-    assert flows.build_supervised(rows, made, prompts, exclude=["d"])[0].count() == 0
+    records, counts = flows.build_supervised(rows, made, prompts, task=get_task("sql"), forbidden=["e"], cap=None, n=1)
+    first = counts.first()
+    assert [r.id for r in records.collect()] == ["train-1#s0"] and (first.candidates, first.dropped_excluded, first.written) == (1, 0, 1)
+    none, counts = flows.build_supervised(rows, made, prompts, task=get_task("sql"), forbidden=["e"], exclude=["d"])
+    assert none.count() == 0 and (counts.first().dropped_excluded, counts.first().written) == (1, 0)
+    broken = [(dict(forbidden=[]), "empty"), (dict(forbidden=["d"]), "forbidden"), (dict(graded=rows.union(rows)), "repeat"), (dict(generations=made.union(made)), "more than one"), (dict(graded=rows.withColumn("pred_sql", F.lit("x"))), "differ"), (dict(graded=rows.withColumn("sample", F.lit(7))), "choice"), (dict(prompts=prompts.limit(0)), "without a prompt")]
+    for change, what in broken:
+        given = dict(graded=rows, generations=made, prompts=prompts, task=get_task("sql"), forbidden=["e"]) | change
+        with pytest.raises(ValueError, match=what):
+            flows.build_supervised(**given)
+        with pytest.raises(ValueError, match=what):
+            flows.build_rollouts(**given, samples=1)
+    assert flows.build_rollouts(rows, made, prompts, task=get_task("sql"), forbidden=["e"], samples=1).count() == 0
 
 
 def test_grade_and_audit(spark, tmp_path):
@@ -103,11 +115,12 @@ def test_grade_and_audit(spark, tmp_path):
     items = spark.createDataFrame([("test-1", "test", 5.0, None), ("test-2", "test", 1.0, None)], "id string, split string, gold_num double, gold_text string")
     got = {(r.id, r.sample): (r.correct, r.error) for r in flows.grade_numeric(made, items, get_task("qa")).collect()}
     assert got == {("test-1", 0): (True, ""), ("test-1", 1): (False, "no_answer"), ("test-2", 0): (False, "no_answer")}
-    records = spark.createDataFrame([("train-1#s0", "t", None, [("user", "Q: what now?")])], "id string, db_id string, report string, messages array<struct<role: string, content: string>>")
-    questions = spark.createDataFrame([("train-1", "train", "t", "What now?", None), ("dev-1", "dev", "e", "else", None)], "id string, split string, group_key string, question string, evidence string")
+    records = spark.createDataFrame([("train-1#s0", "t", None, [("user", "Q: what now?")], "x")], "id string, db_id string, report string, messages array<struct<role: string, content: string>>, response string")
+    schema = "id string, split string, kind string, group_key string, question string, evidence string, gold_sql string, gold_num double, gold_text string"
+    questions = spark.createDataFrame([("train-1", "train", "sql", "t", "What now?", None, "SELECT 1", None, None), ("dev-1", "dev", "sql", "e", "else", None, None, None, None)], schema)
     report, clean = flows.audit_records(records, questions, str(tmp_path / "audit"))
     assert clean and report["records"] == 1 and os.path.exists(tmp_path / "audit" / "audit.json")
-    leaked = questions.union(spark.createDataFrame([("dev-2", "dev", "e", "what now", None)], questions.schema))
+    leaked = questions.union(spark.createDataFrame([("dev-2", "dev", "sql", "e", "what now", None, None, None, None)], questions.schema))
     assert not flows.audit_records(records, leaked)[1] and audit.rule_counts(audit.record_flags(records, leaked)).first().exact == 1
 
 
@@ -163,7 +176,7 @@ def test_chat_source(spark):
         def __init__(self, body):
             self.body = body
 
-        def read(self):
+        def read(self, *_):
             return self.body
 
         def __enter__(self):
@@ -175,29 +188,53 @@ def test_chat_source(spark):
     calls, waits = [], []
 
     def opener(request, timeout):
-        calls.append(request.full_url)
+        calls.append((request.full_url, request.get_header("Authorization")))
         if len(calls) < 3:
             raise TimeoutError("slow")
         return Reply(b'{"choices": []}')
 
-    assert chat.post("http://x/v1/", {}, sleep=waits.append, opener=opener) == {"choices": []} and waits == [5.0, 10.0] and calls[0] == "http://x/v1/chat/completions"
+    asked = chat.Endpoint("http://x/v1/", key="k", send=opener, pause=waits.append)
+    assert asked.complete({}) == {"choices": []} and waits == [5.0, 10.0] and calls[0] == ("http://x/v1/chat/completions", "Bearer k")
 
     def never(request, timeout):
         raise TimeoutError("slow")
 
-    with pytest.raises(chat.ChatError, match="gave up after 2"):
-        chat.post("http://x", {}, attempts=2, sleep=waits.append, opener=never)
-    assert chat.may_retry(503, "") and chat.may_retry(400, "Overloaded") and not chat.may_retry(400, "bad")
-    got = chat.in_order(lambda x: 6 // x, [1, 0, 3], workers=2)
-    assert got[0] == 6 and isinstance(got[1], ZeroDivisionError) and got[2] == 2
-
-    def call(endpoint, body):
-        if body["messages"][0]["content"] == "bad":
-            raise ValueError("no")
-        return {"model": "m", "choices": [{"message": {"content": endpoint}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 1, "completion_tokens": body["n"]}}
-
-    prompts = spark.createDataFrame([("a", [("user", "x")]), ("b", [("user", "bad")])], "id string, messages array<struct<role: string, content: string>>").coalesce(1)
-    rows = {r.id: r for r in chat.generate(prompts, ["http://1", "http://2"], {"n": 4}, call=call).collect()}
+    with pytest.raises(chat.ChatError, match="tried 2 times"):
+        chat.Endpoint("http://x", send=never, pause=waits.append, policy=chat.RetryPolicy(tries=2)).complete({})
+
+    def refuse(code, text, then=()):
+        replies = [urllib.error.HTTPError("http://x", code, "no", {}, io.BytesIO(text)), *then]
+
+        def send(request, timeout):
+            reply = replies.pop(0) if len(replies) > 1 else replies[0]
+            if isinstance(reply, Exception):
+                raise reply
+            return reply
+
+        return send
+
+    # an endpoint that starts up says so under any status; another refusal is final at once
+    assert chat.Endpoint("http://x", send=refuse(400, b"Model not yet ready", (Reply(b"{}"),)), pause=waits.append).complete({}) == {}
+    with pytest.raises(chat.ChatError, match="status 400") as refused:
+        chat.Endpoint("http://x", send=refuse(400, b"bad"), pause=waits.append).complete({})
+    assert refused.value.tries == 1
+    policy = chat.RetryPolicy()
+    assert policy.allows(429, "") and policy.allows(None, "") and policy.allows(403, "in Scale-Up") and not policy.allows(425, "") and not policy.allows(400, "bad")
+    assert policy.pauses()[:3] == [5.0, 10.0, 20.0] and max(policy.pauses()) == 300.0 and len(policy.pauses()) == 15
+
+    class Served:
+        def __init__(self, address):
+            self.address = address
+
+        def complete(self, body):
+            if body["messages"][0]["content"] == "bad":
+                raise ValueError("no")
+            return {"model": "m", "choices": [{"message": {"content": self.address}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 1, "completion_tokens": body["n"]}}
+
+    prompts = spark.createDataFrame([("a", [("user", "x")]), ("b", [("user", "bad")])] + [(f"c{i}", [("user", "x")]) for i in range(30)], "id string, messages array<struct<role: string, content: string>>").coalesce(1)
+    got = chat.generate(prompts, ["http://1", "http://2"], {"n": 4}, under_way=3, rows_a_batch=7, connect=Served).collect()
+    rows = {r.id: r for r in got}
     assert rows["a"].choices[0].finish_reason == "stop" and rows["a"].usage.completion_tokens == 4 and rows["b"].error == "ValueError: no" and rows["b"].choices is None
+    assert [r.id for r in got] == ["a", "b"] + [f"c{i}" for i in range(30)] and [r.endpoint for r in got[:3]] == ["http://1", "http://2", "http://1"]
     with pytest.raises(ValueError, match="endpoints"):
         chat.generate(prompts, [], {})

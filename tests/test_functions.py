@@ -17,6 +17,21 @@ def test_normalize_and_ngrams(spark):
     words = [" ".join(f"w{i}" for i in range(n)) for n in (12, 13, 14)]
     assert values(spark, [*words, ""], lambda c: F.size(text.word_ngrams(c))) == [0, 1, 2, 0]
     assert values(spark, ["a b c a b c"], lambda c: F.size(text.ngram_digests(c, 3))) == [3]
+    assert values(spark, ["A b, c d", None], lambda c: text.word_ngrams(c, 3)) == [["a b c", "b c d"], []]
+
+
+def test_ngrams_take_linear_time(spark):
+    """Texts of four times the words take about four times as long, not sixteen times."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(200).select(F.concat(F.lit(" ".join(f"w{i}" for i in range(n))), F.col("id").cast("string")).alias("t"))
+        began = time.time()
+        rows.agg(F.sum(F.size(text.ngram_digests(F.col("t"))))).collect()
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(4000) < 8 * max(0.3, seconds(1000))
 
 
 def test_extract_sql(spark):
@@ -27,7 +42,10 @@ def test_extract_sql(spark):
 
 def test_response_and_parts(spark):
     assert values(spark, ["<think>\n</think>\n\nhi", "  </think> hi", "<think>a</think>hi", "\n hi"], text.normalize_response) == ["hi", "hi", "<think>a</think>hi", "hi"]
-    assert values(spark, ["p\nQuestion: a b?\nHint: none", "Q: c\n\nQuestion: d\n", "none"], text.question_of) == ["a b?", "d", ""]
+    assert values(spark, ["p\nQuestion: a b?\nHint: none", "Q: c\n\nQuestion: d\n", "none", "Q: a\nb c\n \nd", "Question: x\nSchema: y"], text.question_of) == ["a b?", "d", "", "a\nb c", "x"]
+    assert values(spark, ["p\nHint: a b\n\nQuestion: q", "Hint: none\nQ: x", "External knowledge: two\nlines\n\nQuestion: q", "q"], text.evidence_of) == ["a b", "", "two\nlines", ""]
+    assert values(spark, ["```json\n{}\n```"], text.json_object) == [{}]
+    assert values(spark, ["Not yet ready", "scale-up", "bad", None], lambda c: text.retryable(F.lit(400), c)) == [True, True, False, False]
     assert values(spark, ["train-1#s12", "train-1", "a#sx"], text.strip_sample) == ["train-1", "train-1", "a#sx"]
     assert values(spark, ["timeout: 3", "plain", ""], text.failure_kind) == ["timeout", "plain", ""]
     assert values(spark, ["AB/2009/page_4.pdf", "AB/09/page_4.pdf"], text.valid_report) == [True, False]
@@ -67,9 +85,17 @@ def test_score(spark):
 
 
 def test_plain_decimal(spark):
-    assert [numbers.plain_decimal(v) for v in (1e-6, -0.0, 1234567.5, 1e21, None)] == ["0.000001", "0", "1,234,567.5", "1,000,000,000,000,000,000,000", None]
-    rows = spark.createDataFrame([(0.5,), (None,)], "v double").select(numbers.format_gold(F.col("v")).alias("t")).collect()
-    assert [r.t for r in rows] == ["0.5", None]
+    from decimal import Decimal
+
+    cases = [1e-6, -0.0, 0.0, 1234567.5, 1e21, -1e21, 0.5, -12.0, 100.0, 1e-320, 1.7976931348623157e308, 123456789.125, 0.1 + 0.2, 9.999999e22, 3e7, 12345678.9]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*cases, None, float("nan"), float("inf")])], "i int, v double").select("i", numbers.format_gold(F.col("v")).alias("t")).orderBy("i").collect()
+
+    def plain(v):
+        t = f"{Decimal(repr(v)):,f}"
+        t = t.rstrip("0").rstrip(".") if "." in t else t
+        return "0" if t in ("-0", "") else t
+
+    assert [r.t for r in rows] == [plain(v) for v in cases] + [None, None, None]
 
 
 def test_lengths_and_models(spark):

@@ -114,9 +114,9 @@ def test_groups(spark):
     c = selection.group_counts(rows, made).first()
     assert (c.groups, c.groups_sized, c.groups_mixed, c.records) == (5, 3, 1, 4)
     assert {r.id: r.sample for r in selection.first_failed(rows).collect()} == {"mixed": 1, "small": 1, "gap": 1, "cut": 0}
-    items = spark.createDataFrame([("mixed", "dev"), ("new", "dev"), ("other", "train"), (None, "dev")], "id string, split string")
+    items = spark.createDataFrame([("mixed", "dev"), ("new", "dev"), ("other", "train"), (None, "dev")], "id string, split string").withColumn("kind", F.lit("sql"))
     added = selection.covered(rows, items).filter("id = 'new'").collect()
-    assert [(r.sample, r.correct) for r in added] == [(0, False)]
+    assert [(r.sample, r.correct, r.error) for r in added] == [(0, False, "no_sql")]
     assert {r.id for r in selection.to_do(items, made).collect()} == {"new", "other"}
 
 
@@ -135,6 +135,10 @@ def test_advantages(spark):
     cases = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, math.log(2), 0.0, 1.0), (2, math.log(0.1), 0.0, -1.0), (3, math.log(10), math.log(10), -1.0), (4, -5.0, 0.0, 1.0)], "i int, lp double, ref double, a double")
     got = [(round(r.policy, 9), round(r.kl, 6), r.clipped) for r in cases.select("i", *[c.alias(k) for k, c in terms.items()]).orderBy("i").collect()]
     assert [g[0] for g in got[:4]] == [-1.0, -1.2, 0.8, 3.0] and got[4][1] == 10.0 and [g[2] for g in got] == [False, True, True, False, False]
+    masked = advantage.policy_terms(F.col("lp"), F.lit(0.0), F.lit(0.0), F.lit(1.0), weight=F.col("w"))
+    tokens = spark.createDataFrame([("k", 900.0, 0.0), ("k", 0.0, 2.0)], "k string, lp double, w double").select("k", "w", *[masked[c].alias(c) for c in ("ratio", "loss", "kl")])
+    assert [tuple(r) for r in advantage.weighted_metrics(tokens, ["k"], "w", ["ratio", "loss", "kl"]).collect()] == [("k", 2.0, 1.0, -1.0, 0.0)]
+    assert {r.group_id for r in advantage.equal_groups(rows).collect()} == {"c", "d"}
 
 
 def test_uptime(spark):
@@ -200,14 +204,26 @@ def test_execution(spark, tmp_path):
     got = {(r.id, r.sample): (r.correct, r.error) for r in grading.execute_grades(rows, timeout_s=0.5).collect()}
     assert got["q", 0] == (True, "") and got["q", 1] == (False, "") and got["q", 3] == (False, "no_sql") and got["bad", 0] == (False, "gold_failed")
     assert got["q", 2][1].startswith("OperationalError") and "readonly" in got["q", 4][1] and got["q", 5][1].startswith("timeout")
-    with pytest.raises(grading.QueryError, match="more than 2 rows"):
-        grading.run_query(path, "SELECT id FROM customer", max_rows=2)
-    assert grading.describe_run(path, None).startswith("could not be found") and grading.describe_run(path, "SELECT 1 WHERE 0") == "returned no rows"
-    assert grading.describe_run(path, "SELECT city FROM customer WHERE id = 3") == "returned 1 row(s):\ncity\nNULL"
-    from corpusmill.sources.readers import schema_text, schema_texts
+    runner = grading.SqliteRunner(max_rows=2, most_open=1)
+    assert runner.run(path, "SELECT id FROM customer").error == "more than 2 rows" and runner.run(None, "SELECT 1").error == "no database" and runner.run(path + "x", "SELECT 1").error.startswith("OperationalError")
+    assert runner.run(path, "SELECT id, id FROM customer WHERE id < 3").rows == {(1, 1), (2, 2)} and runner.run(path, "SELECT char(55296) || x'ff'").count == 1
+    assert "no query" in runner.report(path, None) and "nothing" in runner.report(path, "SELECT 1 WHERE 0") and "no such column" in runner.report(path, "SELECT nope FROM customer")
+    assert runner.report(path, "SELECT city, 'a b' FROM customer WHERE id = 3").endswith("\nNULL\ta b") and "Rows: 1" in runner.report(path, "SELECT 1")
+    runner.close()
+    answers = spark.createDataFrame([("a", 0, path, "SELECT 1"), ("a", 1, path, None)], "id string, sample int, path string, pred_sql string")
+    assert {r.sample: "Rows: 1" in r.feedback for r in grading.feedback_batches(answers).collect()} == {0: True, 1: False}
+    from corpusmill.sources.readers import catalog, schema_texts
 
-    assert schema_text(path).startswith("CREATE TABLE customer") and "3 | c | NULL" in schema_text(path)
-    assert schema_texts(spark.createDataFrame([("shop", path)] * 2, "db_id string, path string")).count() == 1
+    with sqlite3.connect(path) as c:
+        c.executescript("CREATE TABLE \"odd \"\"name\" (a TEXT); CREATE VIRTUAL TABLE search USING fts5(x);")
+        c.execute("PRAGMA writable_schema = 1")
+        c.execute("UPDATE sqlite_master SET sql = 'CREATE VIRTUAL TABLE search USING absent_module(x)' WHERE name = 'search'")
+    databases = spark.createDataFrame([("shop", path)] * 2 + [("none", str(tmp_path / "none.sqlite"))], "db_id string, path string")
+    sqlite3.connect(str(tmp_path / "none.sqlite")).execute("PRAGMA user_version = 1").close()
+    found = {r.name: r for r in catalog(databases).collect()}
+    assert found["customer"].samples[2] == ["3", "c", None] and found["odd \"name"].samples == [] and found["search"].samples == [] and "absent_module" in found["search"].ddl
+    texts = {r.db_id: r.schema_text for r in schema_texts(databases).collect()}
+    assert texts["shop"].startswith("CREATE TABLE customer") and "3 | c | NULL" in texts["shop"] and "USING absent_module(x)" in texts["shop"] and texts["none"] == ""
 
 
 def test_controls(spark):
@@ -216,11 +232,27 @@ def test_controls(spark):
     assert got == {"a": ("SELECT 1", "SELECT 2"), "b": ("SELECT 2", "SELECT 1"), "c": ("SELECT 2", "SELECT 1")}
     qa = spark.createDataFrame([("a", 1.5, None), ("b", None, "yes"), ("c", -1e-6, None)], "id string, gold_num double, gold_text string")
     assert all(r.correct for r in grading.gold_control(qa).collect())
+    more = qa.union(spark.createDataFrame([("d", 150.0, None), ("e", 1.5, None), ("f", None, "no")], qa.schema)).withColumn("split", F.lit("dev")).union(spark.createDataFrame([("z", 3.0, None, "test")], "id string, gold_num double, gold_text string, split string"))
+    control = grading.numeric_shuffled_control(more)
+    rows = {r.id: r for r in control.collect()}
+    assert set(rows) == set("abcdef") and all(r.gold != r.other for r in rows.values()) and rows["a"].other == rows["e"].other
+    rate = grading.control_rate(control).first()
+    assert rate["items"] == 6 and rate.passed == sum({r.gold, r.other} == {"1.500000000e+00", "1.500000000e+02"} for r in rows.values())
+
+
+def test_audit_of_financial_records(spark):
+    """Report page, question and score, as for an item of its own page; the item's page counts as well."""
+    schema = "id string, split string, kind string, group_key string, question string, evidence string, gold_sql string, gold_num double, gold_text string"
+    items = spark.createDataFrame([("train-1", "train", "qa", "A/2001/page_1.pdf", "what rose?", None, None, 5.0, None), ("train-2", "train", "qa", "B/2001/page_1.pdf", "what fell?", None, None, None, "yes"), ("test-1", "test", "qa", "B/2001/page_1.pdf", "what else?", None, None, 1.0, None)], schema)
+    rows = [("train-1#s0", "A/2001/page_1.pdf", "what rose?", "Answer: 5.01"), ("train-1#s1", "A/2001/page_1.pdf", "what rose?", "Answer: 6"), ("train-2#s0", "C/2001/page_1.pdf", "what fell?", "Answer: yes"), ("train-7#s0", "A/2001/page_1.pdf", "WHAT else", "Answer: 1")]
+    records = spark.createDataFrame([(i, None, r, [("user", f"Report page:\n1\n\nQuestion: {q}\n\nShort.")], a) for i, r, q, a in rows], "id string, db_id string, report string, messages array<struct<role: string, content: string>>, response string")
+    got = {r.id: tuple(r[x] for x in audit.RULES) for r in audit.record_flags(records, items).collect()}
+    assert got == {"train-1#s0": (False,) * 5, "train-1#s1": (False, False, False, False, True), "train-2#s0": (True, True, False, False, False), "train-7#s0": (True, False, True, False, True)}
 
 
-def test_audit(spark):
+def test_audit(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(13))
-    items = spark.createDataFrame([("dev-1", "dev", "e1", f"start {long} end", None), ("dev-2", "dev", "e2", "Short one?", None), ("train-1", "train", "t1", "Short  ONE", None), ("train-2", "train", "t2", f"other {long} text", ""), ("train-3", "train", "e1", "fine question", long), ("train-4", "train", None, None, None)], "id string, split string, db_id string, question string, evidence string").withColumn("group_key", F.col("db_id"))
+    items = spark.createDataFrame([("dev-1", "dev", "e1", f"start {long} end", None), ("dev-2", "dev", "e2", "Short one?", None), ("train-1", "train", "t1", "Short  ONE", None), ("train-2", "train", "t2", f"other {long} text", ""), ("train-3", "train", "e1", "fine question", long), ("train-4", "train", None, None, None)], "id string, split string, db_id string, question string, evidence string").withColumn("group_key", F.col("db_id")).withColumn("kind", F.lit("sql")).withColumn("gold_sql", F.lit("SELECT 1")).withColumn("gold_num", F.lit(None).cast("double")).withColumn("gold_text", F.lit(None).cast("string"))
     train, evals = items.filter("split = 'train'"), items.filter("split = 'dev'")
     assert {r.id for r in audit.repeating(train, evals).collect()} == {"train-1"}
     assert {r.id: r.shared for r in audit.sharing(train, evals).collect()} == {"train-2": 1, "train-3": 1}
@@ -229,13 +261,22 @@ def test_audit(spark):
     assert audit.repeating(kept, evals).count() == 0 and audit.sharing(kept, evals).count() == 0
     c = audit.removed_counts(train, evals).first()
     assert (c.rows, c.exact, c.ngram_only, c.kept) == (4, 1, 2, 1)
-    message = lambda q: [("system", "s"), ("user", f"Schema\nQuestion: {q}\nHint: none")]
-    records = spark.createDataFrame([("train-1#s0", "t1", None, message("Short ONE")), ("train-9#s1", "e2", None, message("new")), ("train-3#s0", "t3", None, message("fine question"))], "id string, db_id string, report string, messages array<struct<role: string, content: string>>")
+    message = lambda q, e="none": [("system", "s"), ("user", f"Schema\nQuestion: {q}\nHint: {e}")]
+    answer = "```sql\nSELECT {}\n```"
+    records = spark.createDataFrame([("train-1#s0", "t1", None, message("Short ONE"), answer.format(1)), ("train-9#s1", "e2", None, message("new"), "x"), ("train-3#s0", "t3", None, message("fine question", long), answer.format(2))], "id string, db_id string, report string, messages array<struct<role: string, content: string>>, response string")
     counts = audit.rule_counts(audit.record_flags(records, items)).first()
-    assert (counts.records, counts.not_a_train_item, counts.eval_group, counts.exact, counts.ngram) == (3, 1, 1, 1, 0)
-    assert {(r.rule, r.id) for r in audit.rule_examples(audit.record_flags(records, items)).collect()} == {("not_a_train_item", "train-9#s1"), ("eval_group", "train-9#s1"), ("exact", "train-1#s0")}
+    # train-3 is of another group than its item, and its evidence shares an n-gram
+    assert (counts.records, counts.not_a_train_item, counts.eval_group, counts.exact, counts.ngram, counts.reverify_failed) == (3, 2, 1, 1, 1, 0)
+    assert {(r.rule, r.id) for r in audit.rule_examples(audit.record_flags(records, items)).collect()} == {("not_a_train_item", "train-9#s1"), ("not_a_train_item", "train-3#s0"), ("eval_group", "train-9#s1"), ("exact", "train-1#s0"), ("ngram", "train-3#s0")}
+    import sqlite3
+
+    sqlite3.connect(str(tmp_path / "t.sqlite")).execute("CREATE TABLE x (a)").close()
+    databases = spark.createDataFrame([("t1", str(tmp_path / "t.sqlite")), ("t3", str(tmp_path / "t.sqlite"))], "db_id string, path string")
+    assert {r.id: r.reverify_failed for r in audit.record_flags(records, items, databases=databases).collect()} == {"train-1#s0": False, "train-3#s0": True, "train-9#s1": None}
+    empty = audit.rule_counts(audit.record_flags(records.limit(0), items)).first()
+    assert empty.records == 0 and audit.rule_counts(audit.record_flags(records, items.limit(0))).first().not_a_train_item == 3
     assert audit.leaked_ids(records, evals).count() == 0 and audit.leaked_ids(records, spark.createDataFrame([("train-1",)], "id string")).count() == 1
-    assert {(r.split_a, r.split_b, r.groups) for r in audit.shared_groups(items).collect()} == {("dev", "train", 1)}
+    assert {(r.kind, r.split_a, r.split_b, r.groups) for r in audit.shared_groups(items).collect()} == {("sql", "dev", "train", 1)}
     docs = spark.createDataFrame([(1, "A b!"), (2, "a  B"), (3, ""), (4, "..."), (5, None), (6, "c")], "doc_id bigint, text string")
     assert {(r.first_id, r.copies) for r in audit.same_text(docs).collect()} == {(1, 2), (3, 2)}
 
@@ -249,9 +290,9 @@ def test_prompts(spark):
     assert body.startswith("Report page:\nx\n\n | 1\na | 2\n\n(none)\n\nQuestion: q?")
     assert prompts.in_groups(items, "db_id", only=["d"]).count() == 1 and prompts.in_groups(items, "db_id", exclude=["d"]).count() == 1 and prompts.in_groups(items, "db_id").count() == 2
     failed = spark.createDataFrame([("a", 0)], "id string, sample int")
-    answers = spark.createDataFrame([("a", 0, "SELECT gold", "returned no rows")], "id string, sample int, content string, feedback string")
+    answers = spark.createDataFrame([("a", 0, "SELECT gold", "The query ran and gave nothing.")], "id string, sample int, content string, feedback string")
     fixed = prompts.correction_prompts(failed, prompts.sql_prompts(items), answers)
-    assert "It returned no rows." in fixed.first().messages[-1].content
+    assert "\n\nThe query ran and gave nothing.\n\n" in fixed.first().messages[-1].content
     assert prompts.gold_leaks(fixed, spark.createDataFrame([("a", "SELECT gold")], "id string, gold string")).count() == 0
     assert prompts.gold_leaks(fixed, spark.createDataFrame([("a", "how?")], "id string, gold string")).count() == 1
 
