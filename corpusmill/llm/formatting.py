@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest128
@@ -23,8 +23,8 @@ _MARKUP = re.compile(r"^(?:```[a-z]*|[`*_#>~\"'‘’“”«»])+|(?:```|[`*_~\
 _CLOSING = re.compile(r"[.;,!?:…]+$")
 _MONEY = re.compile("[$€£¥₹%‰]")
 _QUOTES = re.compile("[\"'`\\[\\]‘’“”«»„]")
-_FIELD = re.compile(r"^[\s*`\"']*([A-Za-z][\w ]{0,40}?)[\s*`\"']*[:=]\s*(.*)$", re.S)
-_NAME_AHEAD = re.compile(r"[;|\n]|,(?=\s*[\"'`*]*[A-Za-z][\w ]{0,40}?[\"'`*]*\s*[:=])")
+_FIELD = re.compile(r"^[\s*`\"']*([A-Za-z][\w ]*?)[\s*`\"']*[:=]\s*(.*)$", re.S)
+_NAME_AHEAD = re.compile(r"[;|\n]|,(?=\s*[\"'`*]*[A-Za-z][\w ]*?[\"'`*]*\s*[:=])")
 _NUMBER = re.compile(r"^-?[\d.]+$")
 
 
@@ -122,21 +122,15 @@ def copy_counts(graded: DataFrame) -> DataFrame:
     return survivors(predictions(graded)).groupBy("id", "canon").agg(F.min("first_row").alias("kept_row_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("writings")).drop("canon")
 
 
-def _digest(*parts: str) -> list[Column]:
-    """128 bits over the parts, as two numbers."""
-    return digest128(*[F.col(p) for p in parts])
-
-
 def copies(graded: DataFrame) -> DataFrame:
     """(kept_row_id, copy_row_id): each row of a set of equal predictions but the first, with the smallest row id of the set.
 
-    The sets come from the counts; only writings of sets with more than one row are joined back to the rows. Writings and
-    canonical texts, each with the item's id, travel as digests of 128 bits. AQE splits a hot key of the join; the side of the sets
-    has one row for each key.
+    The sets are grouped on the full canonical text; only writings of sets with more than one row are joined back to the rows, by 128
+    bits of the item and the raw text. AQE splits a hot key of the join; the side of the sets has one row for each key.
     """
     rows = predictions(graded)
-    (r1, r2), (c1, c2) = _digest("id", "pred"), _digest("id", "canon")
-    distinct = cut_lineage(survivors(rows).select(r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), c2.alias("c2"), "n", "first_row"))
-    sets = distinct.groupBy("c1", "c2").agg(F.min("first_row").alias("kept_row_id"), F.sum("n").alias("copies")).filter("copies > 1").drop("copies")
-    members = distinct.join(sets, ["c1", "c2"]).select("r1", "r2", "kept_row_id")
+    r1, r2 = digest128(F.col("id"), F.col("pred"))
+    distinct = cut_lineage(survivors(rows).select(r1.alias("r1"), r2.alias("r2"), "id", "canon", "n", "first_row"))
+    sets = distinct.groupBy("id", "canon").agg(F.min("first_row").alias("kept_row_id"), F.sum("n").alias("copies")).filter("copies > 1").drop("copies")
+    members = distinct.join(sets, ["id", "canon"]).select("r1", "r2", "kept_row_id")
     return rows.select("row_id", r1.alias("r1"), r2.alias("r2")).join(members, ["r1", "r2"]).filter("row_id <> kept_row_id").select("kept_row_id", F.col("row_id").alias("copy_row_id"))

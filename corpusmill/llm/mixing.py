@@ -2,8 +2,9 @@
 
 Documents fall into cells of source, language and topic. The cells' token sums are raked to the target shares of the sources
 and to the natural shares of languages and topics, under the cap of repeats. Each document of a cell is then used
-floor(factor) times and once more with the rest of the factor as its probability; the further uses are dealt out along the
-hash order of the documents, and a source's last ones so that its tokens miss the target by half a document at most.
+floor(factor) times, and once more with the rest of the factor as its probability: a number between 0 and 1 that a hash gives each
+document for ever is held against it. The probabilities of a source are calibrated by one common multiplier, so that the source's
+tokens meet their target; it is read off histograms, so nothing is ranked or sorted.
 """
 
 from __future__ import annotations
@@ -12,29 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import grouped_rank
 from ..session import cut_lineage
+from . import topics
 from .names import source_name
-from .tokens import TOKENIZER, count_tokens
-
-#: Words that place a text in one of three topics; more hits win, none gives "other".
-TOPICS = {
-    "finance": "revenue|income|asset|liability|dividend|margin|goodwill|pension|impairment|fiscal|expense|umsatz|kosten|ingresos|recettes",
-    "query": "select|join|subquery|column|table|null|cast|query|schema|index|spalte|tabelle|consulta|columna|colonne|requête",
-    "run": "run|runs|checkpoint|baseline|accuracy|samples|threshold|benchmark|grader|split|lauf|ejecución|exécution",
-}
-LANGUAGES = ("de", "en", "es", "fr")
-
+from .tokens import TOKENIZER
 
-def topic(text: Column) -> Column:
-    """The topic with the most of its words in the text; ties go to the first in the order of TOPICS."""
-    low = F.lower(text)
-    hits = {name: F.regexp_count(low, F.lit(rf"\b(?:{words})\b")) for name, words in TOPICS.items()}
-    top = F.greatest(*hits.values())
-    out = F.when(F.coalesce(top, F.lit(0)) == 0, "other")
-    for name, n in hits.items():
-        out = out.when(n == top, name)
-    return out
+LANGUAGES = ("de", "en", "es", "fr")
 
 
 def language_code(lang: Column) -> Column:
@@ -82,45 +66,90 @@ def rake(tokens: np.ndarray, sources: np.ndarray, margins: list[np.ndarray], sha
     return factor
 
 
-def cells(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens) of the documents whose source is a target; source names are spelled alike first."""
+def cells(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample: int = topics.SAMPLE) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of the documents whose source is a target; source names are spelled alike first.
+
+    Topics come from a model fitted to sample documents of these.
+    """
     known = targets.select(source_name(F.col("source")).alias("source")).distinct()
-    shaped = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), topic(F.col("text")).alias("topic"), count_tokens(F.col("text"), path).alias("n_tokens"))
-    return cut_lineage(shaped.join(known, "source"))
+    shaped = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), "text").join(known, "source", "left_semi")
+    return cut_lineage(topics.sized(shaped, topics.fit(*topics.sampled(shaped, sample), path), path))
+
+
+#: Bins of a histogram of a source's documents, of which there are two, the second inside one bin of the first.
+BINS = 2048
+
+
+def _levels(drawn: DataFrame, wanted: dict[str, float]) -> dict[str, float]:
+    """For each source the place below which its drawn documents have the wanted tokens, to the nearest of BINS x BINS steps.
+
+    drawn: source, place (from 0 up to 1), n_tokens. To the driver go two histograms of BINS rows a source.
+    """
+
+    def edge(rows: list, source: str, goal: float) -> tuple[int, float]:
+        """The bin in which the sum reaches the goal, and the sum before it."""
+        before = 0.0
+        last = -1
+        for _, at, tokens in (r for r in rows if r[0] == source):
+            last = at
+            if before + tokens >= goal:
+                return at, before
+            before += tokens
+        return last + 1, before
+
+    def histogram(df: DataFrame, at: Column) -> list:
+        return df.groupBy("source", at.cast("int").alias("at")).agg(F.sum("n_tokens")).orderBy("source", "at").collect()
+
+    first = histogram(drawn, F.floor(F.col("place") * BINS))
+    coarse = {s: edge(first, s, goal) for s, goal in wanted.items()}
+    if not coarse:
+        return {}
+    own = F.element_at(F.create_map(*[F.lit(x) for s, (at, _) in coarse.items() for x in (s, at)]), F.col("source"))
+    second = histogram(drawn.filter(F.floor(F.col("place") * BINS) == own), F.floor((F.col("place") * BINS - own) * BINS))
+    out = {}
+    for s, goal in wanted.items():
+        at, before = coarse[s]
+        fine, reached = edge(second, s, goal - before)
+        inside = next((t for r, a, t in second if r == s and a == fine), 0.0)
+        # the step that ends nearer to the goal: before the bin that crosses it, or behind it
+        over = before + reached + inside - goal
+        out[s] = (at + (fine + (1 if over < goal - before - reached else 0)) / BINS) / BINS
+    return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample: int = topics.SAMPLE) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, copies): how often each document of a target source is used; 0 is listed too.
 
     Targets with a null or no share, and documents of other or null sources, contribute nothing; documents without tokens
-    are used as often as the others of their cell with no effect on the shares. To the driver go one row for each target
-    and one for each cell (targets x 5 languages x 4 topics).
+    are used as often as the others of their cell with no effect on the shares. Equal doc_ids, and null ones, are drawn alike. To the
+    driver go a bounded sample for the topics, one row for each target and each cell (targets x 5 languages x 5 topics), and
+    histograms of BINS rows a target.
     """
     spark = documents.sparkSession
-    placed = cells(documents, targets, path)
+    placed = cells(documents, targets, path, sample)
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeat").filter("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeat")).orderBy("source").collect()
     sums = placed.groupBy("source", "lang", "topic").agg(F.sum("n_tokens")).orderBy("source", "lang", "topic").collect()
     number = {g[0]: i for i, g in enumerate(goals)}
     rows = [r for r in sums if r[0] in number]
-    index = lambda values: (np.array([sorted(set(values)).index(v) for v in values], dtype=np.int64))
+    index = lambda values: np.unique(values, return_inverse=True)[1]
     tokens = np.array([float(r[3]) for r in rows])
     factors = rake(tokens, np.array([number[r[0]] for r in rows], dtype=np.int64), [index([r[1] for r in rows]), index([r[2] for r in rows])], np.array([float(g[1]) for g in goals]), np.array([max(1, g[2] or 1) for g in goals], dtype=float)) if rows else []
-    table = []
+    table, wanted = [], {}
     for r, f, t in zip(rows, factors, tokens, strict=True):
         cap = max(1, goals[number[r[0]]][2] or 1)
         whole = min(cap, int(np.floor(f + 1e-9)))
-        table.append((r[0], r[1], r[2], whole, float(max(0.0, f - whole) * t), float(max(0.0, f - whole)), float(t), whole < cap))
-    factor = spark.createDataFrame(table, "f_source string, f_lang string, f_topic string, whole int, extra double, part double, cell_tokens double, open boolean")
-    extras = factor.groupBy("f_source").agg(F.sum("extra").alias("source_extra")).withColumnRenamed("f_source", "e_source")
-    in_cell = grouped_rank(placed, ["source", "lang", "topic"], F.col("doc_id"), weight="n_tokens")
-    joined = in_cell.join(F.broadcast(factor), (F.col("source") == F.col("f_source")) & (F.col("lang") == F.col("f_lang")) & (F.col("topic") == F.col("f_topic"))).drop("rank", "f_source", "f_lang", "f_topic")
-    # the place in the cell by tokens against the cell's probability: all below 0 are used once more, and the cut is moved
-    # so that the source gets its tokens
-    place = F.when(F.col("open") & (F.col("cell_tokens") > 0), ((F.col("before") + F.col("n_tokens") / 2) / F.col("cell_tokens") - F.col("part") + 1) / 2).otherwise(0.999999)
-    kept = joined.select("doc_id", "source", "lang", "topic", "n_tokens", "whole", "open", F.least(place, F.lit(0.999999)).alias("place"))
-    in_source = grouped_rank(kept, ["source"], F.col("doc_id"), weight="n_tokens", position=F.col("place")).join(F.broadcast(extras), F.col("source") == F.col("e_source"))
-    again = F.when(F.col("open") & (F.col("before") + F.col("n_tokens") / 2 <= F.col("source_extra")), 1).otherwise(0)
-    return in_source.select("doc_id", "source", "lang", "topic", "n_tokens", (F.col("whole") + again).cast("int").alias("copies"))
+        part = float(max(0.0, f - whole)) if whole < cap else 0.0
+        table.append((r[0], r[1], r[2], whole, part))
+        wanted[r[0]] = wanted.get(r[0], 0.0) + part * t
+    factor = spark.createDataFrame(table, "source string, lang string, topic string, whole int, part double")
+    # a number between 0 and 1 for each document, over its probability; v / (1 + v) brings that to 0 up to 1, with the probability itself at 1/2
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / float(1 << 53)
+    v = F.when(F.col("part") > 0, u / F.col("part"))
+    joined = placed.join(F.broadcast(factor), ["source", "lang", "topic"], "left").withColumn("place", v / (v + 1))
+    levels = _levels(joined.filter("place is not null"), {s: w for s, w in wanted.items() if w > 0})
+    level = F.element_at(F.create_map(*[F.lit(x) for s, at in [*levels.items(), ("", 0.0)] for x in (s, float(at))]), F.col("source"))
+    again = F.coalesce((F.col("place") < level).cast("int"), F.lit(0))
+    return joined.select("doc_id", "source", "lang", "topic", "n_tokens", (F.coalesce("whole", F.lit(0)) + again).cast("int").alias("copies"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

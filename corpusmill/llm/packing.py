@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import grouped_rank
+from ..operators.ranking import buckets_for, grouped_rank
 from ..session import cut_lineage
 from .tokens import TOKENIZER, count_tokens
 
@@ -215,7 +215,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER,
     histogram = [(r[0], r[1]) for r in parts.groupBy("n_tokens").count().collect()]  # one row for each length up to the capacity
     table = lookup(plan(histogram, capacity))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string"))
-    ranked = grouped_rank(parts, ["n_tokens"], key)
+    ranked = grouped_rank(parts, ["n_tokens"], key, buckets=buckets_for(max((n for _, n in histogram), default=0)))
     wide = ranked.sparkSession.sparkContext.broadcast(table)  # capacity x ranges of a length: its size doesn't depend on the documents
 
     @F.pandas_udf("bigint")

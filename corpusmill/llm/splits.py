@@ -12,13 +12,13 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import grouped_rank
+from ..operators.ranking import buckets_for, grouped_rank
 from ..session import cut_lineage
 from .names import company_code, database_name
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 #: Sizes up to this are kept exact in bundles; larger ones share a bundle when within 1/16 of each other.
-EXACT_SIZE = 1024
+EXACT_SIZE = 128
 
 
 def components(edges: DataFrame, left: str = "left_source", right: str = "right_source", max_rounds: int = 100) -> DataFrame:
@@ -129,10 +129,11 @@ def solve_flow(supply: list[tuple[int, int]], strata: int, shares: list[float])
 def allocate(bundles: list[tuple[int, int, int, int]], shares: list[float]) -> list[list[int]]:
     """Whole components of each bundle for each split. bundles: (stratum, size, components, items), any order.
 
-    Components larger than a quarter of the smallest quota go first, largest first, to the split with the most room, so that no
-    small split consists of one source. The flow shares out the others under what is left of the quotas and is rounded down to
-    whole components; what is left of it goes, largest components first, to the split that is furthest below its quota, in the
-    component's stratum when splits tie.
+    A flow shares out all components. It is rounded in two steps, since a component larger than a quarter of the smallest quota may
+    not be cut as the flow would: such components go first, largest first, to the split with the most room for them, the one with most
+    of their flow among equals, so that no small split consists of one source. The flow of the others is then solved anew under what is
+    left of the quotas and rounded down to whole components; what is left of it goes, largest components first, to the split that
+    is furthest below its quota, in the component's stratum when splits tie.
     """
     strata = max((b[0] for b in bundles), default=-1) + 1
     total = sum(b[3] for b in bundles)
@@ -148,9 +149,10 @@ def allocate(bundles: list[tuple[int, int, int, int]], shares: list[float]) -> l
         in_stratum[bundles[i][0]][j] += n * means[i]
 
     large = [i for i in range(len(bundles)) if means[i] > 0.25 * total * min(shares)]
+    everything = solve_flow([(b[0], b[3]) for b in bundles], strata, shares) if large else []
     for i in sorted(large, key=lambda i: (-means[i], bundles[i])):
         for _ in range(bundles[i][2]):
-            put(i, max(range(len(shares)), key=lambda j: (total * shares[j] - filled[j], -j)), 1)
+            put(i, max(range(len(shares)), key=lambda j: (round(total * shares[j] - filled[j], 6), everything[i][j], -j)), 1)
     small = [i for i in range(len(bundles)) if means[i] <= 0.25 * total * min(shares)]
     room = [max(0.0, total * s - f) for s, f in zip(shares, filled, strict=True)]
     if small and sum(room):
@@ -214,7 +216,7 @@ def split_items(sql_items: DataFrame, qa_items: DataFrame, links: DataFrame, spl
                 plan.append((p, c, low, low + n, name))
             low += n
     ranges = spark.createDataFrame(plan, "p_profile int, p_class bigint, low bigint, high bigint, split string")
-    ranked = grouped_rank(sizes, ["profile", "class"], F.col("component"))
+    ranked = grouped_rank(sizes, ["profile", "class"], F.col("component"), buckets=buckets_for(max((r[2] for r in rows), default=0)))
     dealt = ranked.join(F.broadcast(ranges), (F.col("profile") == F.col("p_profile")) & (F.col("class") == F.col("p_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("component", "split")
     return grouped.join(dealt, "component").select("id", "kind", "group_key", "split")
 
