@@ -3,8 +3,8 @@
 Documents fall into cells of source, language and topic. The cells' token sums are raked to the target shares of the sources
 and to the natural shares of languages and topics, under the cap of repeats. Each document of a cell is then used
 floor(factor) times, and once more with the rest of the factor as its probability: a number between 0 and 1 that a hash gives each
-document for ever is held against it. The probabilities of a source are calibrated by one common multiplier, so that the source's
-tokens meet their target; it is read off histograms, so nothing is ranked or sorted.
+document for ever is held against it. The probabilities of a source's size class are calibrated by one multiplier, so that the
+source's tokens meet their target; it is read off histograms, so nothing is ranked or sorted.
 """
 
 from __future__ import annotations
@@ -76,44 +76,37 @@ def cells(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sampl
     return cut_lineage(topics.sized(shaped, topics.fit(*topics.sampled(shaped, sample), path), path))
 
 
-#: Bins of a histogram of a source's documents, of which there are two, the second inside one bin of the first.
-BINS = 2048
+#: Bins of the histogram of the documents of a source and size class.
+BINS = 4096
 
 
-def _levels(drawn: DataFrame, wanted: dict[str, float]) -> dict[str, float]:
-    """For each source the place below which its drawn documents have the wanted tokens, to the nearest of BINS x BINS steps.
+def size_class(tokens: Column) -> Column:
+    """Documents of one class are within a factor of four of each other; from 4,096 tokens on they are one class."""
+    return F.least(F.lit(6), F.floor(F.log2(F.greatest(tokens, F.lit(1))) / 2)).cast("int")
 
-    drawn: source, place (from 0 up to 1), n_tokens. To the driver go two histograms of BINS rows a source.
-    """
 
-    def edge(rows: list, source: str, goal: float) -> tuple[int, float]:
-        """The bin in which the sum reaches the goal, and the sum before it."""
-        before = 0.0
-        last = -1
-        for _, at, tokens in (r for r in rows if r[0] == source):
-            last = at
-            if before + tokens >= goal:
-                return at, before
-            before += tokens
-        return last + 1, before
-
-    def histogram(df: DataFrame, at: Column) -> list:
-        return df.groupBy("source", at.cast("int").alias("at")).agg(F.sum("n_tokens")).orderBy("source", "at").collect()
-
-    first = histogram(drawn, F.floor(F.col("place") * BINS))
-    coarse = {s: edge(first, s, goal) for s, goal in wanted.items()}
-    if not coarse:
-        return {}
-    own = F.element_at(F.create_map(*[F.lit(x) for s, (at, _) in coarse.items() for x in (s, at)]), F.col("source"))
-    second = histogram(drawn.filter(F.floor(F.col("place") * BINS) == own), F.floor((F.col("place") * BINS - own) * BINS))
+def calibrate(histogram: list[tuple[str, int, int, float]], wanted: dict[tuple[str, int], float]) -> dict[tuple[str, int], float]:
+    """The place below which the documents of a source and size class are drawn. histogram: (source, class, bin, tokens); wanted: tokens by source and class.
+
+    The classes of a source go from the largest documents to the smallest; what one class misses its tokens by, up to half of its last bin, is
+    made up for by the next, so that a source misses its tokens by half of a small document.
+    """
+    bins: dict[tuple[str, int], list[tuple[int, float]]] = {}
+    for source, size, at, tokens in histogram:
+        bins.setdefault((source, size), []).append((at, tokens))
     out = {}
-    for s, goal in wanted.items():
-        at, before = coarse[s]
-        fine, reached = edge(second, s, goal - before)
-        inside = next((t for r, a, t in second if r == s and a == fine), 0.0)
-        # the step that ends nearer to the goal: before the bin that crosses it, or behind it
-        over = before + reached + inside - goal
-        out[s] = (at + (fine + (1 if over < goal - before - reached else 0)) / BINS) / BINS
+    for source in sorted({s for s, _ in wanted}):
+        carry = 0.0
+        for size in range(6, -1, -1):
+            goal = carry + wanted.get((source, size), 0.0)
+            best, reached, level = abs(goal), 0.0, 0.0
+            total = 0.0
+            for at, tokens in sorted(bins.get((source, size), [])):
+                total += tokens
+                if abs(goal - total) < best:
+                    best, reached, level = abs(goal - total), total, (at + 1) / BINS
+            out[source, size] = level
+            carry = goal - reached
     return out
 
 
@@ -123,7 +116,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample:
     Targets with a null or no share, and documents of other or null sources, contribute nothing; documents without tokens
     are used as often as the others of their cell with no effect on the shares. Equal doc_ids, and null ones, are drawn alike. To the
     driver go a bounded sample for the topics, one row for each target and each cell (targets x 5 languages x 5 topics), and
-    histograms of BINS rows a target.
+    a histogram of seven
+    size classes by BINS rows a target.
     """
     spark = documents.sparkSession
     placed = cells(documents, targets, path, sample)
@@ -134,22 +128,25 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample:
     index = lambda values: np.unique(values, return_inverse=True)[1]
     tokens = np.array([float(r[3]) for r in rows])
     factors = rake(tokens, np.array([number[r[0]] for r in rows], dtype=np.int64), [index([r[1] for r in rows]), index([r[2] for r in rows])], np.array([float(g[1]) for g in goals]), np.array([max(1, g[2] or 1) for g in goals], dtype=float)) if rows else []
-    table, wanted = [], {}
-    for r, f, t in zip(rows, factors, tokens, strict=True):
+    table = []
+    for r, f in zip(rows, factors, strict=True):
         cap = max(1, goals[number[r[0]]][2] or 1)
         whole = min(cap, int(np.floor(f + 1e-9)))
         part = float(max(0.0, f - whole)) if whole < cap else 0.0
         table.append((r[0], r[1], r[2], whole, part))
-        wanted[r[0]] = wanted.get(r[0], 0.0) + part * t
     factor = spark.createDataFrame(table, "source string, lang string, topic string, whole int, part double")
     # a number between 0 and 1 for each document, over its probability; v / (1 + v) brings that to 0 up to 1, with the probability itself at 1/2
     u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / float(1 << 53)
     v = F.when(F.col("part") > 0, u / F.col("part"))
-    joined = placed.join(F.broadcast(factor), ["source", "lang", "topic"], "left").withColumn("place", v / (v + 1))
-    levels = _levels(joined.filter("place is not null"), {s: w for s, w in wanted.items() if w > 0})
-    level = F.element_at(F.create_map(*[F.lit(x) for s, at in [*levels.items(), ("", 0.0)] for x in (s, float(at))]), F.col("source"))
-    again = F.coalesce((F.col("place") < level).cast("int"), F.lit(0))
-    return joined.select("doc_id", "source", "lang", "topic", "n_tokens", (F.coalesce("whole", F.lit(0)) + again).cast("int").alias("copies"))
+    joined = placed.join(F.broadcast(factor), ["source", "lang", "topic"], "left").withColumns({"place": v / (v + 1), "size": size_class(F.col("n_tokens"))})
+    bin_ = F.least(F.lit(BINS - 1), F.floor(F.col("place") * BINS)).cast("int")
+    drawn = joined.filter("place is not null")
+    wanted = {(r[0], r[1]): float(r[2]) for r in drawn.groupBy("source", "size").agg(F.sum(F.col("part") * F.col("n_tokens"))).collect()}
+    counted = [(r[0], r[1], r[2], float(r[3])) for r in drawn.groupBy("source", "size", bin_.alias("bin")).agg(F.sum("n_tokens")).collect()]
+    levels = spark.createDataFrame([(s, c, at) for (s, c), at in calibrate(counted, wanted).items()], "source string, size int, level double")
+    chosen = joined.withColumn("bin", bin_).join(F.broadcast(levels), ["source", "size"], "left")
+    again = F.coalesce(((F.col("bin") + 1) / BINS <= F.col("level")).cast("int"), F.lit(0))
+    return chosen.select("doc_id", "source", "lang", "topic", "n_tokens", (F.coalesce("whole", F.lit(0)) + again).cast("int").alias("copies"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -197,3 +197,27 @@ def test_prose_of_unknown_languages(spark):
     swedish = [(i, "".join(SWEDISH.format(n) for n in ("Anna", "Erik", "Karin")[: 1 + i % 3]), "sv", "s", 1) for i in range(120)]
     docs = spark.createDataFrame(swedish + [(500 + i, PROSE * (2 + i % 5), "en", "s", 1) for i in range(200)], DOCS)
     assert spam.spam_pages(docs).count() == 0
+
+
+def test_calibrate():
+    """Each class meets its tokens to half a bin, and smaller documents make up for what larger ones miss."""
+    histogram = [("a", 5, 10, 900.0), ("a", 5, 20, 900.0), ("a", 1, 3, 5.0), ("a", 1, 7, 5.0), ("a", 1, 9, 5.0), ("b", 2, 0, 30.0)]
+    got = mixing.calibrate(histogram, {("a", 5): 895.0, ("a", 1): 14.0, ("b", 2): 10.0})
+    assert got["a", 5] == 11 / mixing.BINS and got["a", 1] == 8 / mixing.BINS and got["b", 2] == 0.0
+    assert mixing.calibrate([], {}) == {}
+
+
+def test_topics(spark):
+    from corpusmill.llm import topics
+
+    rng = random.Random(2)
+    words = {"money": "revenue asset margin dividend ledger audit", "query": "select join column table index schema", "dish": "soup onion butter garlic pepper oven"}
+    texts = [(" ".join(rng.choices(w.split(), k=40)), lang, name) for name, w in words.items() for lang in ("en", "de") for _ in range(30)]
+    model = topics.fit([t for t, *_ in texts], [g for _, g, _ in texts], topics=3)
+    encode = tokens.encoding(tokens.TOKENIZER).encode_ordinary
+    found = {}
+    for t, lang, name in texts:
+        found.setdefault((name, model.topic(encode(t), lang)), []).append(1)
+    assert len(found) == 3 and len({k for _, k in found}) == 3  # the same topic for a subject in both languages
+    assert model.topic([], "en") == "none" and topics.fit([], []).topic([1], "en") == "none"
+    assert topics.fit(["one text", ""], ["en", "xx"]).topic(encode("one text"), "zz") in ("t0", "none")
