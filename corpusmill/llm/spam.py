@@ -314,15 +314,20 @@ def robust_model(feats: DataFrame) -> Model:
     return model
 
 
-def score(model: Model, lang: str, values: tuple[float, ...]) -> tuple[float, float]:
-    """(squared distance, direction) of a page's features.
+def score(model: Model, langs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, directions) of the features of pages, a row each.
 
     The direction is the mean deviation in scales, positive towards spam; a feature on the other side takes away one scale at most, so that
     much of it (function words between keywords) hides nothing.
     """
-    centre, scale, inverse = model.get(lang) or model["all"]
-    z = np.array(values) - centre
-    return float(z @ inverse @ z), float(np.maximum(z / scale * _TOWARDS, -1.0).mean())
+    far, ward = np.zeros(len(values)), np.zeros(len(values))
+    for lang in np.unique(langs):
+        at = langs == lang
+        centre, scale, inverse = model.get(str(lang)) or model["all"]
+        z = values[at] - centre
+        far[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
+        ward[at] = np.maximum(z / scale * _TOWARDS, -1.0).mean(1)
+    return far, ward
 
 
 def flagged_pages(documents: DataFrame, direction: float = DIRECTION) -> DataFrame:
@@ -334,14 +339,11 @@ def flagged_pages(documents: DataFrame, direction: float = DIRECTION) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
-                *values, words = page_features(text)
-                if words:
-                    far, ward = score(model, lang, tuple(values))
-                    if far > DISTANCE and ward > direction:
-                        rows.append((doc_id, lang, far, ward, spam_share(text)))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "distance", "direction", "spam"])
+            found = np.array([page_features(t) for t in batch["text"]], dtype=float).reshape(-1, len(FEATURES) + 1)
+            batch["distance"], batch["direction"] = score(model, batch["lang"].to_numpy(dtype=str), found[:, :-1])
+            out = batch[(found[:, -1] > 0) & (batch["distance"] > DISTANCE) & (batch["direction"] > direction)].copy()
+            out["spam"] = [spam_share(t) for t in out["text"]]
+            yield out[["doc_id", "lang", "distance", "direction", "spam"]]
 
     ready = documents.filter("doc_id is not null and text is not null").select("doc_id", language_code(F.col("lang")).alias("lang"), "text")
     return ready.mapInPandas(run, "doc_id bigint, lang string, distance double, direction double, spam double")

@@ -88,3 +88,36 @@ def test_brute_force(spark, sf):
     # every digest taken for a crowded one: the same pairs
     narrow = {(p.eval_id, p.train_id) for p in overlap.cross_split_pairs(items, table(spark, sf, "records"), digest_pairs=0).collect()}
     assert narrow == found
+
+
+def test_fraction_counts_repeated_chunks(spark):
+    """An identical text that repeats a phrase has a fraction of 1, and the least fraction decides."""
+    again = "list the rooms of 2004 and list the rooms of 2004 and list the rooms of 2004 and list the rooms of 2004"
+    far = "list the rooms of 2004 with all of the owners who never paid a fee for any of the other halls"
+    i = spark.createDataFrame([("dev-1", "dev", "a", again, "SELECT 1", 1), ("train-1", "train", "a", again.upper(), "SELECT 1", 1), ("train-2", "train", "a", far, "SELECT 1", 1)], ITEMS)
+    got = {r.train_id: r.fraction for r in overlap.cross_split_pairs(i, spark.createDataFrame([], RECORDS), least=1e-6).collect()}
+    assert got["train-1"] == 1.0
+    assert {r.train_id for r in overlap.cross_split_pairs(i, spark.createDataFrame([], RECORDS), least=1.0).collect()} == {"train-1"}
+
+
+def test_rolling_hash():
+    """A cut depends on the last words only, so texts that end alike are cut alike from there on."""
+    words = [f"w{i}" for i in range(300)]
+    ends = lambda cut: {c[-1] for c in cut}
+    assert ends(overlap.chunks(words, longest=10**9)) & set(words[152:]) == ends(overlap.chunks(words[150:], longest=10**9)) & set(words[152:])
+
+
+def test_slips_meet_where_a_digest_is_crowded(spark):
+    """A question of one name with a slip is found when each digest is met together with words."""
+    q = "how many songs do we have in all of the lists of this house"
+    rows = [("dev-1", "dev", "a", q, "SELECT COUNT(*) FROM songs"), ("train-1", "train", "a", q.replace("songs", "sogns"), None), ("train-2", "train", "a", q.replace("songs", "rooms"), "SELECT COUNT(*) FROM rooms")]
+    i = spark.createDataFrame([(*x, 1) for x in rows], ITEMS)
+    r = spark.createDataFrame([], RECORDS)
+    for limit in (0, 10**6):
+        assert {p.train_id for p in overlap.cross_split_pairs(i, r, digest_pairs=limit).collect()} == {"train-1"}
+
+
+def test_long_blocks_and_runs_of_sentences(spark):
+    long = "It was noted in the minutes that the house has a rule. " * 60
+    records = [("train-1#s0", [("user", f"Question: {long}{BASE}")], None), ("train-2#s0", [("user", f"Hello there. Please read on. {BASE} Work slowly. Thanks.")], None), ("train-3#s0", [("system", f"Example: {BASE} -> none"), ("user", "Q: other")], None)]
+    assert {t for _, t in pairs(spark, [("test-1", "test", "a", BASE, GOLD), ("test-2", "test", "a", long + BASE, GOLD)], records)} >= {"train-1#s0", "train-2#s0", "train-3#s0"}
