@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .advantage import advantages
+from .metrics import side_by_side
 from .ranking import grouped_rank
 
 ALIGN = 256
@@ -70,47 +72,83 @@ def token_weights(starts: Column, stops: Column, low: Column, high: Column) -> C
     return F.zip_with(starts, stops, lambda s, e: F.when((s >= low) & (F.greatest(e, s + 1) <= high), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def rendered(records: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, overlong: str = "drop", end: str = "<|im_end|>") -> DataFrame:
-    """(id, input_ids, loss_weight, n_real, n_trained, status) of records; status is kept, overlong or unmatched.
+def trained_span(text: str, response: str, end: str) -> tuple[int, int] | None:
+    """Where a response and its end mark stand in a rendered text: as it is, stripped, or with the blanks around its closing think tag changed.
 
-    encode gives (token, first character, character behind) of a text, one list entry a token, and runs in the Python workers.
-    The trained span is the response and its end mark. overlong 'truncate' cuts at limit, a multiple of 256; arrays aren't
-    padded, a token has weight 0 outside the response.
+    Templates of reasoning models write 'reasoning</think>answer' anew with their own blanks and an opening tag; the span then begins
+    at the reasoning. None if the template changed anything else.
+    """
+    for form in (response, response.strip()):
+        if form and (at := text.rfind(form + end)) >= 0:
+            return at, at + len(form) + len(end)
+    head, tag, answer = response.rpartition("</think>")
+    if not tag:
+        return None
+    reasoning = head.rpartition("<think>")[2].strip()
+    spaced = re.compile(re.escape(reasoning) + r"\s*</think>\s*" + re.escape(answer.strip()) + re.escape(end))
+    found = list(spaced.finditer(text))
+    return found[-1].span() if found else None
+
+
+KEPT = ("kept", "truncated")
+
+
+def rendered(records: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, overlong: str = "drop", end: str = "<|im_end|>", render: Callable[[list[dict]], str] | None = None, pad: int | None = None) -> DataFrame:
+    """(id, input_ids, loss_weight, n_real, n_trained, status) of records; status is kept, truncated, overlong or unmatched.
+
+    encode gives (token, first character, character behind) of a text, one list entry a token, and runs in the Python workers;
+    render makes the text of a list of messages (without it chat_text). The trained span is the response and its end mark; a token has
+    weight 0 outside of it. overlong 'truncate' cuts at limit, a multiple of 256. With pad, ids and weights are filled up to limit.
+    Records without a response, or whose response the template changed, are unmatched.
     """
     if limit % ALIGN:
         raise ValueError(f"limit must be a multiple of {ALIGN}")
     if overlong not in ("drop", "truncate"):
         raise ValueError(f"overlong is drop or truncate, not {overlong!r}")
-    parts = records.select("id", chat_text(weighted_messages(), end=end).alias("text"), "response")
+    parts = records.select("id", weighted_messages().alias("messages"), chat_text(weighted_messages(), end=end).alias("text"), "response")
+
+    def one(messages, text: str | None, response: str | None) -> tuple[list[int], list[float], int, int, str]:
+        if render is not None and messages is not None:
+            text = render([{"role": m["role"], "content": m["content"]} for m in messages])
+        span = trained_span(text, response, end) if text is not None and response else None
+        if span is None:
+            return [], [], 0, 0, "unmatched"
+        tokens = encode(text)
+        if len(tokens) > limit and overlong == "drop":
+            return [], [], len(tokens), 0, "overlong"
+        status = "truncated" if len(tokens) > limit else "kept"
+        tokens = tokens[:limit]
+        ids = [t for t, _, _ in tokens]
+        weights = [float(span[0] <= s and max(e, s + 1) <= span[1]) for _, s, e in tokens]
+        fill = 0 if pad is None else limit - len(ids)
+        return ids + [pad] * fill, weights + [0.0] * fill, len(ids), int(sum(weights)), status
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for rid, text, response in zip(batch["id"], batch["text"], batch["response"], strict=True):
-                low = text.rfind(response + end) if text is not None and response else -1
-                if low < 0:
-                    rows.append((rid, [], [], 0, 0, "unmatched"))
-                    continue
-                high = low + len(response) + len(end)
-                tokens = encode(text)
-                weights = [1.0 if s >= low and max(e, s + 1) <= high else 0.0 for _, s, e in tokens]
-                ids = [t for t, _, _ in tokens]
-                if len(ids) > limit and overlong == "drop":
-                    rows.append((rid, [], [], len(ids), 0, "overlong"))
-                    continue
-                ids, weights = ids[:limit], weights[:limit]
-                rows.append((rid, ids, weights, len(ids), int(sum(weights)), "kept"))
+            rows = [(rid, *one(m, t, r)) for rid, m, t, r in zip(batch["id"], batch["messages"], batch["text"], batch["response"], strict=True)]
             yield pd.DataFrame(rows, columns=["id", "input_ids", "loss_weight", "n_real", "n_trained", "status"])
 
     return parts.mapInPandas(run, "id string, input_ids array<int>, loss_weight array<float>, n_real int, n_trained int, status string")
 
 
+def check_masks(rows: DataFrame, padded: bool = False) -> None:
+    """Raise when a kept row's weights don't fit its ids, are none of 0 and 1, lie on padding, or a padded length is no multiple of 256."""
+    behind = F.slice("loss_weight", F.col("n_real") + 1, F.greatest(F.size("loss_weight") - F.col("n_real"), F.lit(0)))
+    faults = (F.size("input_ids") != F.size("loss_weight")) | F.exists("loss_weight", lambda w: ~w.isin(0.0, 1.0)) | F.exists(behind, lambda w: w != 0)
+    if padded:
+        faults = faults | (F.size("loss_weight") % ALIGN != 0)
+    n = rows.filter(F.col("status").isin(*KEPT)).agg(F.count_if(faults)).first()[0]
+    if n:
+        raise ValueError(f"{n} records with wrong loss weights")
+
+
 def render_counts(rows: DataFrame, most_unmatched: float = 0.01) -> DataFrame:
-    """One row: input, kept, overlong, unmatched, tokens and trained tokens, and whether too many records don't fit the template."""
-    kept = F.col("status") == "kept"
+    """One row: input, kept, truncated (among the kept), overlong, unmatched, tokens and trained tokens, and whether too many records don't fit the template."""
+    kept = F.col("status").isin(*KEPT)
     return rows.agg(
         F.count(F.lit(1)).alias("n_input"),
         F.count_if(kept).alias("n_kept"),
+        F.count_if(F.col("status") == "truncated").alias("n_truncated"),
         F.count_if(F.col("status") == "overlong").alias("n_overlong"),
         F.count_if(F.col("status") == "unmatched").alias("n_unmatched"),
         F.coalesce(F.sum(F.when(kept, F.col("n_real"))), F.lit(0)).alias("tokens_real"),
@@ -164,11 +202,45 @@ def check_minibatches(sequences: int, mini_batch: int, drop_partial: bool) -> No
         raise ValueError(f"{sequences} sequences are fewer than a mini-batch of {mini_batch}, and partial batches are dropped")
 
 
-def rollout_sequences(rollouts: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, norm: str = "std", overlong: str = "drop") -> DataFrame:
-    """(id, group_id, advantage, input_ids, loss_weight, n_real, n_trained): rendered members of groups with differing rewards."""
+def rollout_sequences(rollouts: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, norm: str = "std", overlong: str = "drop", pad: int | None = None) -> DataFrame:
+    """(id, group_id, advantage, input_ids, loss_weight, n_real, n_trained, status): rendered members of groups with differing rewards; those that train nothing have another status than KEPT or n_trained 0."""
     scored = advantages(rollouts.select("id", "group_id", "reward"), norm).select("id", "group_id", "advantage")
-    kept = rendered(rollouts.join(scored.select("id"), "id", "left_semi"), encode, limit, overlong).filter("status = 'kept'")
-    return kept.join(scored, "id").select("id", "group_id", "advantage", "input_ids", "loss_weight", "n_real", "n_trained")
+    done = rendered(rollouts.join(scored.select("id"), "id", "left_semi"), encode, limit, overlong, pad=pad)
+    return done.join(scored, "id").select("id", "group_id", "advantage", "input_ids", "loss_weight", "n_real", "n_trained", "status")
+
+
+def trainable(sequences: DataFrame) -> DataFrame:
+    """The sequences that are trained on."""
+    return sequences.filter(F.col("status").isin(*KEPT) & (F.col("n_trained") > 0))
+
+
+def rollout_counts(rollouts: DataFrame, sequences: DataFrame) -> DataFrame:
+    """One row: sequences trained on; members skipped for equal rewards, truncated, dropped as overlong, without trained tokens, and dropped by the template; tokens."""
+    kept = F.col("status").isin(*KEPT)
+    used = kept & (F.col("n_trained") > 0)
+    counts = sequences.agg(
+        F.count(F.lit(1)).alias("members"),
+        F.count_if(used).alias("n_sequences"),
+        F.count_if(F.col("status") == "truncated").alias("n_truncated"),
+        F.count_if(F.col("status") == "overlong").alias("n_overlong"),
+        F.count_if(kept & (F.col("n_trained") == 0)).alias("n_untrained"),
+        F.count_if(F.col("status") == "unmatched").alias("n_unmatched"),
+        F.coalesce(F.sum(F.when(used, F.col("n_trained"))), F.lit(0)).alias("tokens_trained"),
+        F.coalesce(F.sum(F.when(used, F.col("n_real"))), F.lit(0)).alias("tokens_real"),
+    )
+    total = side_by_side(rollouts.agg(F.count(F.lit(1)).alias("n_rollouts")), counts)
+    return total.select("n_rollouts", (F.col("n_rollouts") - F.col("members")).alias("n_equal_rewards"), *[c for c in counts.columns if c != "members"])
+
+
+def check_records(records: DataFrame, rollouts: bool = False) -> None:
+    """Raise when a record breaks a rule, an id repeats, or, for rollouts, a group or a reward is missing."""
+    broken = {r["rule"]: r["records"] for r in rule_counts(records).collect() if r["rule"] != "valid"}
+    if broken:
+        raise ValueError(f"broken records: {broken}")
+    if repeated_ids(records).limit(1).count():
+        raise ValueError("record ids repeat")
+    if rollouts and records.filter("group_id is null or reward is null").limit(1).count():
+        raise ValueError("rollouts without a group or a reward")
 
 
 def optimizer_steps(plan: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:

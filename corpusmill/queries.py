@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text
 from .operators import accounting, advantage, audit, batching, grading, metrics, prompts, selection
-from .session import ensure_checkpoint_dir, table
+from .session import cut_lineage, ensure_checkpoint_dir, table
 from .streaming import streams
 from .tasks.registry import get_task
 
@@ -367,6 +367,39 @@ def policy_loss_terms(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_returnflag", "weight", *[F.round(k, 6).alias(k) for k in ("ratio", "policy", "kl", "loss", "clipped")])
 
 
+@query(f"WITH {ADV} SELECT group_id FROM rw GROUP BY group_id HAVING min(reward) = max(reward)")
+def equal_groups(spark: SparkSession, d: str) -> DataFrame:
+    return advantage.equal_groups(_rewards(spark, d))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, vec_id % len(embedding) AS t FROM embeddings), s AS (SELECT *, list_max(x) + ln(list_sum(list_transform(x, lambda a: exp(a - list_max(x))))) AS l FROM v)
+SELECT vec_id, round(x[t + 1] - l, 6) AS logp, round(l - list_sum(list_transform(x, lambda a: exp(a - l) * a)), 6) AS entropy FROM s""")
+def token_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Log-probability of a position and entropy, with each embedding taken for the logits of a token."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    logp, entropy = advantage.token_stats(F.col("x"), (F.col("vec_id") % F.size("x")).cast("int"))
+    return rows.select("vec_id", F.round(logp, 6).alias("logp"), F.round(entropy, 6).alias("entropy"))
+
+
+_LOGS = "list_transform({0}, lambda a: a::DOUBLE - (list_max({0}) + ln(list_sum(list_transform({0}, lambda b: exp(b::DOUBLE - list_max({0})))))))"
+
+
+@query(f"""WITH a AS (SELECT vec_id, label, embedding AS x, list_reverse(embedding) AS y FROM embeddings), p AS (SELECT label, list_position(x, list_max(x)) AS ta, list_position(y, list_max(y)) AS tb, {_LOGS.format("x")} AS p, {_LOGS.format("y")} AS q FROM a),
+h AS (SELECT label, ta, tb, p[1:8] AS p, q[1:8] AS q FROM p),
+k AS (SELECT *, 1.0 - list_sum(list_transform(p, lambda v: exp(v))) AS pr, 1.0 - list_sum(list_transform(q, lambda v: exp(v))) AS qr, list_sum(list_transform(range(1, len(p) + 1), lambda i: exp(p[i]) * (p[i] - q[i]))) AS inside,
+  list_max(list_transform(range(1, len(p) + 1), lambda i: abs(p[i] - q[i]))) AS gap, abs(p[1] - q[1]) AS token_gap FROM h),
+m AS (SELECT *, inside + CASE WHEN pr > 0 AND qr > 0 THEN pr * (ln(pr) - ln(qr)) ELSE 0 END AS kl FROM k)
+SELECT label, count(*) AS positions, round(avg((ta = tb)::INT), 6) AS top1_agreement, round(avg(kl), 6) AS mean_kl, round(max(kl), 6) AS max_kl, round(max(token_gap), 6) AS max_token_gap, round(max(gap), 6) AS max_topk_gap FROM m GROUP BY label""")
+def model_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of two models, with each embedding and its reverse taken for their logits; the first eight positions are the compared ids."""
+    of = lambda c: F.transform(c, lambda a: a - (F.array_max(c) + F.log(F.aggregate(c, F.lit(0.0), lambda s, b: s + F.exp(b - F.array_max(c))))))
+    rows = table(spark, d, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x")).withColumn("y", F.reverse("x"))
+    logs = rows.select("label", F.array_position("x", F.array_max("x")).alias("top_a"), F.array_position("y", F.array_max("y")).alias("top_b"), of(F.col("x")).alias("p"), of(F.col("y")).alias("q"))
+    first = logs.select("label", "top_a", "top_b", F.slice("p", 1, 8).alias("p_logs"), F.slice("q", 1, 8).alias("q_logs"), F.get("p", F.lit(0)).alias("logp_a"), F.get("q", F.lit(0)).alias("logp_b"))
+    out = advantage.parity(first, ["label"])
+    return out.select("label", "positions", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
 # Accounting
 
 UPTIME = """e AS (SELECT epoch_us(ts) AS t, event_type <> 'error' AS ok FROM events WHERE ts IS NOT NULL),
@@ -614,6 +647,35 @@ def weighted_parts(spark: SparkSession, d: str) -> DataFrame:
     return weighted.select("id", F.size("m").alias("parts"), trained.alias("trained_chars")).distinct()
 
 
+RENDERED = """tx AS (SELECT group_id, reward, id, response, array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') AS head FROM records),
+tl AS (SELECT *, length(head) + length('<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10)) AS n, length(response || '<|im_end|>') AS trained, length(head) + length('<|im_start|>assistant' || chr(10)) AS low FROM tx),
+st AS (SELECT *, CASE WHEN head IS NULL OR coalesce(response, '') = '' THEN 'unmatched' WHEN n > 1024 THEN 'long' ELSE 'kept' END AS status FROM tl)"""
+
+
+def _characters(text: str) -> list[tuple[int, int, int]]:
+    """Each character as a token."""
+    return [(ord(c), i, i + 1) for i, c in enumerate(text)]
+
+
+@query(f"""WITH {RENDERED} SELECT count(*) AS n_input, count(*) FILTER (status = 'kept') AS n_kept, 0 AS n_truncated, count(*) FILTER (status = 'long') AS n_overlong, count(*) FILTER (status = 'unmatched') AS n_unmatched,
+  coalesce(sum(n) FILTER (status = 'kept'), 0)::BIGINT AS tokens_real, coalesce(sum(trained) FILTER (status = 'kept'), 0)::BIGINT AS tokens_trained, count(*) FILTER (status = 'unmatched') > count(*) * 0.01 AS template_refused FROM st""")
+def record_render_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Records rendered with characters as tokens; those of over 1,024 are dropped."""
+    return batching.render_counts(batching.rendered(table(spark, d, "records"), _characters, 1024))
+
+
+@query(f"""WITH {RENDERED}, ro AS (SELECT * FROM st WHERE reward IS NOT NULL), eq AS (SELECT coalesce(group_id, '') AS g, min(v) < max(v) AS mixed FROM (SELECT group_id, CASE WHEN contains(response, '9') THEN 1.0 ELSE 0.0 END AS v FROM ro) GROUP BY 1),
+me AS (SELECT ro.*, greatest(0, least(n, 1024, low + trained) - low) AS used FROM ro JOIN eq ON coalesce(group_id, '') = g WHERE mixed)
+SELECT (SELECT count(*) FROM ro) AS n_rollouts, (SELECT count(*) FROM ro) - count(*) AS n_equal_rewards, count(*) FILTER (status <> 'unmatched' AND used > 0) AS n_sequences, count(*) FILTER (status = 'long') AS n_truncated, 0 AS n_overlong,
+  count(*) FILTER (status <> 'unmatched' AND used = 0) AS n_untrained, count(*) FILTER (status = 'unmatched') AS n_unmatched, coalesce(sum(used) FILTER (status <> 'unmatched'), 0)::BIGINT AS tokens_trained,
+  coalesce(sum(least(n, 1024)) FILTER (status <> 'unmatched' AND used > 0), 0)::BIGINT AS tokens_real FROM me""")
+def rollout_sequence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of rollouts, cut at 1,024 characters. All rewards of the table are 1, so a response with a 9 takes 1 and another 0; every row is a member of its own."""
+    rows = table(spark, d, "records").filter("reward is not null").withColumns({"reward": F.when(F.col("response").contains("9"), 1.0).otherwise(0.0), "group_id": F.coalesce("group_id", F.lit("")), "id": F.monotonically_increasing_id().cast("string")})
+    kept = cut_lineage(rows.select("id", "group_id", "reward", "messages", "response"))
+    return batching.rollout_counts(kept, batching.rollout_sequences(kept, _characters, 1024, overlong="truncate"))
+
+
 # Streams
 
 

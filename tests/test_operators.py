@@ -326,6 +326,24 @@ def test_records(spark):
     assert done.n_real == len(text) and done.n_trained == len("x<|im_end|>") and done.loss_weight[text.rindex("x<")] == 1.0 and done.loss_weight[0] == 0.0
     counts = batching.render_counts(batching.rendered(rows.filter("id in ('a', 'g')"), chars, 256)).first()
     assert (counts.n_kept, counts.n_unmatched, counts.template_refused) == (1, 1, True)
+    padded = batching.rendered(rows.filter("id = 'a'"), chars, 256, pad=7)
+    batching.check_masks(padded, padded=True)
+    one = padded.first()
+    assert len(one.input_ids) == 256 == len(one.loss_weight) and one.input_ids[-1] == 7 and one.n_real == len(text) and sum(one.loss_weight) == one.n_trained
+    for wrong in (F.transform("loss_weight", lambda w: F.lit(0.5).cast("float")), F.concat(F.slice("loss_weight", 1, 255), F.array(F.lit(1.0).cast("float"))), F.slice("loss_weight", 1, 9)):
+        with pytest.raises(ValueError, match="loss weights"):
+            batching.check_masks(padded.withColumn("loss_weight", wrong), padded=True)
+    thought = rows.filter("id = 'a'").withColumn("response", F.lit("<think>so</think>yes"))
+    again = lambda messages: "".join(f"[{m['role']}]" + m["content"].replace("<think>so</think>yes", "<think>\nso\n</think>\n\nyes") + "<|im_end|>" for m in messages)
+    found = batching.rendered(thought, chars, 256, render=again).first()
+    assert found.status == "kept" and found.n_trained == len("so\n</think>\n\nyes<|im_end|>")
+    assert batching.rendered(thought, chars, 256, render=lambda m: "other").first().status == "unmatched"
+    long = rows.filter("id = 'a'").withColumn("response", F.lit("x" * 400))
+    assert batching.rendered(long, chars, 256).first().status == "overlong" and batching.rendered(long, chars, 256, overlong="truncate").first().status == "truncated"
+    batching.check_records(rows.filter("id = 'a'"), rollouts=True)
+    for bad, what in ((rows, "broken"), (rows.filter("id = 'a'").union(rows.filter("id = 'a'")), "repeat"), (rows.filter("id = 'a'").withColumn("reward", F.lit(None).cast("double")), "reward")):
+        with pytest.raises(ValueError, match=what):
+            batching.check_records(bad, rollouts=True)
     with pytest.raises(ValueError, match="multiple"):
         batching.rendered(rows, chars, 100)
 
@@ -344,6 +362,10 @@ def test_sequences_and_stats(spark):
     rows = spark.createDataFrame([("a#s0", "a", 1.0, [("user", "q")], "x"), ("a#s1", "a", 0.0, [("user", "q")], "y"), ("b#s0", "b", 1.0, [("user", "q")], "z")], "id string, group_id string, reward double, messages array<struct<role: string, content: string>>, response string")
     got = {r.id: r.advantage for r in batching.rollout_sequences(rows, chars, 256).collect()}
     assert got == {"a#s0": 1.0, "a#s1": -1.0}
+    sequences = batching.rollout_sequences(rows.withColumn("response", F.when(F.col("response") == "y", "y" * 900).otherwise(F.col("response"))), chars, 256, overlong="truncate", pad=0)
+    assert batching.trainable(sequences).count() == 2
+    c = batching.rollout_counts(rows, sequences).first()
+    assert (c.n_rollouts, c.n_equal_rewards, c.n_sequences, c.n_truncated, c.n_overlong, c.n_untrained, c.n_unmatched) == (3, 1, 2, 1, 0, 0, 0)
     batching.check_minibatches(4, 4, True)
     with pytest.raises(ValueError, match="fewer"):
         batching.check_minibatches(3, 4, True)
