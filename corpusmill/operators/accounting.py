@@ -56,9 +56,9 @@ def token_totals(generations: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def serving_levels(requests: DataFrame, level: str) -> DataFrame:
-    """(level, requests, ok, errors, wall_s, req_per_s, output_tok_per_s, mean_completion, p50, p90, p99, finish_length).
+    """(level, requests, ok, errors, wall_s, req_per_s, prompt_tok_per_s, output_tok_per_s, mean_completion, p50, p90, p99, finish_length).
 
-    requests: latency_s, started_at (seconds), error, completion_tokens, finish_reason. The wall time runs from the first start to
+    requests: latency_s, started_at (seconds), error, prompt_tokens, completion_tokens, finish_reason. The wall time runs from the first start to
     the last end. Quantiles are nearest ranks of the good requests.
     """
     ok = F.col("error").isNull()
@@ -68,13 +68,14 @@ def serving_levels(requests: DataFrame, level: str) -> DataFrame:
         F.count_if(ok).alias("ok"),
         F.count_if(~ok).alias("errors"),
         F.round(wall, 3).alias("wall_s"),
+        F.coalesce(F.sum(F.when(ok, F.col("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("output_tokens"),
         F.count_if(ok & (F.col("finish_reason") == "length")).alias("finish_length"),
     )
     q = nearest_rank(requests.filter(ok), [level], "latency_s", [0.5, 0.9, 0.99]).groupBy(F.col(level).alias("_l")).agg(*[F.max(F.when(F.col("quantile") == p, F.col("latency_s"))).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
     rate = lambda c: F.round(F.when(F.col("wall_s") > 0, c / F.col("wall_s")), 6)
     return base.join(q, F.col(level).eqNullSafe(F.col("_l")), "left").select(
-        level, "requests", "ok", "errors", "wall_s", rate(F.col("ok")).alias("req_per_s"), rate(F.col("output_tokens")).alias("output_tok_per_s"),
+        level, "requests", "ok", "errors", "wall_s", rate(F.col("ok")).alias("req_per_s"), rate(F.col("prompt_tokens")).alias("prompt_tok_per_s"), rate(F.col("output_tokens")).alias("output_tok_per_s"),
         F.round(F.col("output_tokens") / F.greatest(F.col("ok"), F.lit(1)), 6).alias("mean_completion"), "p50", "p90", "p99", "finish_length",
     )
 

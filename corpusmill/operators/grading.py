@@ -218,6 +218,20 @@ def shuffled_control(items: DataFrame, group: str, gold: str) -> DataFrame:
     return named.join(following.join(other, ["g", "next"]).select("g", "gold", "other"), ["g", "gold"]).select("id", "gold", "other")
 
 
+def executed_gold_control(items: DataFrame) -> DataFrame:
+    """(id, correct, error) of items (id, path, gold_sql): every gold query against itself on its database; all must be right."""
+    own = items.filter("id is not null").groupBy("id").agg(F.min(F.struct("path", "gold_sql")).alias("g")).select("id", F.lit(0).alias("sample"), "g.path", "g.gold_sql", F.col("g.gold_sql").alias("pred_sql"))
+    return execute_grades(own).select("id", "correct", "error")
+
+
+def executed_shuffled_control(items: DataFrame) -> DataFrame:
+    """(id, gold, other, correct) of items (id, db_id, path, gold_sql): each graded with another gold query of its database by execution; few may be right."""
+    control = shuffled_control(items, "db_id", "gold_sql")
+    paths = items.filter("id is not null").groupBy("id").agg(F.min("path").alias("path"))
+    grades = execute_grades(control.join(paths, "id").select("id", F.lit(0).alias("sample"), "path", F.col("gold").alias("gold_sql"), F.col("other").alias("pred_sql")))
+    return control.join(grades.select("id", "correct"), "id")
+
+
 def control_rate(control: DataFrame) -> DataFrame:
     """One row: items of a graded control and how many were right."""
     return control.agg(F.count(F.lit(1)).alias("items"), F.count_if("correct").alias("passed"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, grading, metrics, selection
-from ..sources.writers import write_jsonl, write_manifest
+from ..operators import accounting, audit, grading, metrics, selection
+from ..sources.writers import write_jsonl, write_manifest, write_report
 from ..tasks.registry import Task
 
 
@@ -22,6 +22,23 @@ def grade_numeric(generations: DataFrame, items: DataFrame, task: Task) -> DataF
     return selection.covered(rows, items.withColumn("kind", F.lit(task.name)), task.full_coverage)
 
 
+def grade_report(graded: DataFrame, items: DataFrame, path: str, arguments: dict[str, object] | None = None) -> dict:
+    """Accuracy, by difficulty where the items have one, pass at k and kinds of failures of graded rows as a JSON and a markdown file."""
+    rows = metrics.once(graded.filter("id is not null and sample is not null"))
+    sections = {"summary": metrics.summary(rows), "pass_at_k": metrics.pass_at_k(rows), "failures": metrics.failures(rows)}
+    if "difficulty" in items.columns:
+        sections["difficulty"] = metrics.by_group(rows, items, "difficulty")
+    return write_report(path, sections, arguments)
+
+
+def compute_report(runs: DataFrame, path: str, windows: DataFrame | None = None, arguments: dict[str, object] | None = None) -> dict:
+    """Operations and hours by role and device of runs (accounting.run_operations), and the up-time of windows, as a JSON and a markdown file."""
+    sections = {"roles": accounting.role_totals(runs)}
+    if windows is not None:
+        sections["up_time"] = accounting.uptime_total(windows)
+    return write_report(path, sections, arguments)
+
+
 def check_prompts(prompts: DataFrame, forbidden: list[str], group: str) -> None:
     """Raise unless all prompts are unique train prompts of groups that aren't forbidden and end with a user message. An empty forbid list raises too."""
     if not forbidden:

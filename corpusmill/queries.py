@@ -429,17 +429,17 @@ def token_totals(spark: SparkSession, d: str) -> DataFrame:
     return accounting.token_totals(table(spark, d, "generations").distinct(), ["served_model"])
 
 
-REQUESTS = "rq AS (SELECT DISTINCT id, endpoint, started_at, latency_s, error, usage.completion_tokens AS completion_tokens, choices[1].finish_reason AS finish_reason FROM generations)"
+REQUESTS = "rq AS (SELECT DISTINCT id, endpoint, started_at, latency_s, error, usage.prompt_tokens AS prompt_tokens, usage.completion_tokens AS completion_tokens, choices[1].finish_reason AS finish_reason FROM generations)"
 LEVELS = f"""{REQUESTS}, ok AS (SELECT endpoint, latency_s, row_number() OVER (PARTITION BY endpoint ORDER BY latency_s) - 1 AS r, count(*) OVER (PARTITION BY endpoint) AS n FROM rq WHERE error IS NULL AND latency_s IS NOT NULL),
 qs AS (SELECT endpoint, max(latency_s) FILTER (r = round_even(0.5 * (n - 1), 0)) AS p50, max(latency_s) FILTER (r = round_even(0.9 * (n - 1), 0)) AS p90, max(latency_s) FILTER (r = round_even(0.99 * (n - 1), 0)) AS p99 FROM ok GROUP BY endpoint),
 b AS (SELECT endpoint, count(*) AS requests, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS errors, round(max(started_at + latency_s) - min(started_at), 3) AS wall_s,
-  coalesce(sum(completion_tokens) FILTER (error IS NULL), 0) AS tok, count(*) FILTER (error IS NULL AND finish_reason = 'length') AS finish_length FROM rq GROUP BY endpoint),
-lv AS (SELECT b.endpoint, requests, ok, errors, wall_s, round(ok / wall_s, 6) AS req_per_s, round(tok / wall_s, 6) AS output_tok_per_s, round(tok / greatest(ok, 1), 6) AS mean_completion, p50, p90, p99, finish_length FROM b LEFT JOIN qs ON b.endpoint IS NOT DISTINCT FROM qs.endpoint)"""
+  coalesce(sum(prompt_tokens) FILTER (error IS NULL), 0) AS ptok, coalesce(sum(completion_tokens) FILTER (error IS NULL), 0) AS tok, count(*) FILTER (error IS NULL AND finish_reason = 'length') AS finish_length FROM rq GROUP BY endpoint),
+lv AS (SELECT b.endpoint, requests, ok, errors, wall_s, round(ok / wall_s, 6) AS req_per_s, round(ptok / wall_s, 6) AS prompt_tok_per_s, round(tok / wall_s, 6) AS output_tok_per_s, round(tok / greatest(ok, 1), 6) AS mean_completion, p50, p90, p99, finish_length FROM b LEFT JOIN qs ON b.endpoint IS NOT DISTINCT FROM qs.endpoint)"""
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "generations")
-    return g.select("id", "endpoint", "started_at", "latency_s", "error", F.col("usage.completion_tokens").alias("completion_tokens"), F.get("choices", F.lit(0)).finish_reason.alias("finish_reason")).distinct()
+    return g.select("id", "endpoint", "started_at", "latency_s", "error", F.col("usage.prompt_tokens").alias("prompt_tokens"), F.col("usage.completion_tokens").alias("completion_tokens"), F.get("choices", F.lit(0)).finish_reason.alias("finish_reason")).distinct()
 
 
 @query(f"WITH {LEVELS} SELECT * FROM lv")
@@ -478,9 +478,9 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return accounting.run_operations(rows)
 
 
-@query(f"WITH {RUNS} SELECT p_partkey, round(model_ops / 1e15, 6) AS model_pops, round(hardware_ops / 1e15, 6) AS hardware_pops, round(hours, 6) AS hours FROM op")
+@query(f"WITH {RUNS} SELECT p_partkey, round(model_ops / 1e15, 6) AS model_pops, round(hardware_ops / 1e15, 6) AS hardware_pops, round(hours, 6) AS hours, round(model_ops / (hours * 3600 * 1e15), 9) AS utilisation FROM op")
 def flops_by_run(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d).select("p_partkey", F.round(F.col("model_ops") / 1e15, 6).alias("model_pops"), F.round(F.col("hardware_ops") / 1e15, 6).alias("hardware_pops"), F.round("hours", 6).alias("hours"))
+    return _runs(spark, d).select("p_partkey", F.round(F.col("model_ops") / 1e15, 6).alias("model_pops"), F.round(F.col("hardware_ops") / 1e15, 6).alias("hardware_pops"), F.round("hours", 6).alias("hours"), F.round(accounting.utilisation(F.col("model_ops"), F.col("hours"), 1e15), 9).alias("utilisation"))
 
 
 @query(f"WITH {RUNS} SELECT role, p_brand AS device, count(*) AS runs, round(sum(hours), 4) AS hours, round(sum(model_ops) / 1e18, 4) AS model_eops FROM op WHERE role <> 'other' GROUP BY 1, 2")
@@ -597,6 +597,16 @@ def prompt_questions(spark: SparkSession, d: str) -> DataFrame:
 
 # Batches
 
+RENDERED = """tx AS (SELECT group_id, reward, id, response, array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') AS head FROM records),
+tl AS (SELECT *, length(head) + length('<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10)) AS n, length(response || '<|im_end|>') AS trained, length(head) + length('<|im_start|>assistant' || chr(10)) AS low FROM tx),
+st AS (SELECT *, CASE WHEN head IS NULL OR coalesce(response, '') = '' THEN 'unmatched' WHEN n > 1024 THEN 'long' ELSE 'kept' END AS status FROM tl)"""
+
+
+def _characters(text: str) -> list[tuple[int, int, int]]:
+    """Each character as a token."""
+    return [(ord(c), i, i + 1) for i, c in enumerate(text)]
+
+
 RULES = """CASE WHEN id IS NULL OR id = '' THEN 'no_id' WHEN response IS NULL THEN 'no_response' WHEN messages IS NULL OR len(messages) = 0 THEN 'no_messages'
   WHEN len(list_filter(messages, lambda m: m.role IS NULL OR m.role NOT IN ('system', 'user') OR m.content IS NULL)) > 0 THEN 'bad_message' WHEN messages[-1].role IS DISTINCT FROM 'user' THEN 'last_not_user' ELSE 'valid' END"""
 
@@ -622,6 +632,16 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "records").select(batching.bucket(n, [64, 128, 256, 512], 1024).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(f"""WITH {RENDERED}, w AS (SELECT id, max(trained) AS trained FROM st WHERE status = 'kept' AND id IS NOT NULL GROUP BY id), k AS (SELECT id, row_number() OVER (ORDER BY md5('5:' || id)) - 1 AS rank, count(*) OVER () AS n FROM w),
+b AS (SELECT rank // 64 AS g, sum(trained) AS s FROM k JOIN w USING (id) WHERE rank // 64 < n // 64 GROUP BY 1) SELECT 0 AS epoch, count(*) FILTER (s <> 0) AS steps FROM b""")
+def training_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Optimizer steps of an epoch over the rendered records in batches of 64: those whose next-token weights aren't all 0."""
+    done = batching.rendered(table(spark, d, "records").filter("id is not null"), _characters, 1024).filter("status = 'kept'")
+    weight = F.aggregate(batching.shifted(F.col("loss_weight")), F.lit(0.0), lambda a, w: a + w)
+    rows = cut_lineage(done.groupBy("id").agg(F.max("n_real").alias("n"), F.max(weight).alias("weight")))
+    return batching.optimizer_steps(batching.batch_plan(rows, "n", 64, 16, seed=5), rows)
+
+
 @query("""WITH r AS (SELECT id, max(length(response)) AS length FROM records WHERE id IS NOT NULL AND response IS NOT NULL GROUP BY id), e AS (SELECT *, unnest([0, 1]) AS epoch FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5((epoch + 5)::VARCHAR || ':' || id)) - 1 AS rank, count(*) OVER (PARTITION BY epoch) AS n FROM e),
 b AS (SELECT *, rank // 64 AS global_batch FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY epoch, global_batch ORDER BY length, id) - 1 AS place FROM b WHERE global_batch < n // 64),
@@ -647,16 +667,6 @@ def weighted_parts(spark: SparkSession, d: str) -> DataFrame:
     return weighted.select("id", F.size("m").alias("parts"), trained.alias("trained_chars")).distinct()
 
 
-RENDERED = """tx AS (SELECT group_id, reward, id, response, array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') AS head FROM records),
-tl AS (SELECT *, length(head) + length('<|im_start|>assistant' || chr(10) || response || '<|im_end|>' || chr(10)) AS n, length(response || '<|im_end|>') AS trained, length(head) + length('<|im_start|>assistant' || chr(10)) AS low FROM tx),
-st AS (SELECT *, CASE WHEN head IS NULL OR coalesce(response, '') = '' THEN 'unmatched' WHEN n > 1024 THEN 'long' ELSE 'kept' END AS status FROM tl)"""
-
-
-def _characters(text: str) -> list[tuple[int, int, int]]:
-    """Each character as a token."""
-    return [(ord(c), i, i + 1) for i, c in enumerate(text)]
-
-
 @query(f"""WITH {RENDERED} SELECT count(*) AS n_input, count(*) FILTER (status = 'kept') AS n_kept, 0 AS n_truncated, count(*) FILTER (status = 'long') AS n_overlong, count(*) FILTER (status = 'unmatched') AS n_unmatched,
   coalesce(sum(n) FILTER (status = 'kept'), 0)::BIGINT AS tokens_real, coalesce(sum(trained) FILTER (status = 'kept'), 0)::BIGINT AS tokens_trained, count(*) FILTER (status = 'unmatched') > count(*) * 0.01 AS template_refused FROM st""")
 def record_render_counts(spark: SparkSession, d: str) -> DataFrame:

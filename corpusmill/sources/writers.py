@@ -44,3 +44,19 @@ def markdown(df: DataFrame, digits: int = 2, most_rows: int = 1000) -> str:
 
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def write_report(path: str, sections: dict[str, DataFrame], arguments: dict[str, object] | None = None, most_rows: int = 1000) -> dict:
+    """A JSON file of small results by name: a section of one row as an object, of several as a list. More than most_rows rows raise. Beside it, a markdown file of the same."""
+    content: dict[str, object] = {"arguments": arguments or {}}
+    for name, df in sections.items():
+        rows = [r.asDict(recursive=True) for r in df.limit(most_rows + 1).collect()]
+        if len(rows) > most_rows:
+            raise ValueError(f"{name}: more than {most_rows} rows are no report")
+        content[name] = rows[0] if len(rows) == 1 else rows
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(content, file, indent=1, default=str, sort_keys=True)
+    with open(f"{os.path.splitext(path)[0]}.md", "w", encoding="utf-8") as file:
+        file.write("\n".join(f"## {name}\n\n{markdown(df, most_rows=most_rows)}" for name, df in sections.items()))
+    return content

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from ..functions import numbers, text
-from ..operators import prompts
+from ..operators import grading, prompts
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,10 @@ class Task:
     normalize: Callable[[Column], Column]
     valid_group: Callable[[Column], Column]
     prompts: Callable[..., DataFrame]
+    #: Grades answers against items, and the evaluators' controls: every gold against itself, and against another one.
+    grade: Callable[..., DataFrame]
+    gold_control: Callable[[DataFrame], DataFrame]
+    shuffled_control: Callable[[DataFrame], DataFrame]
 
 
 TASKS: dict[str, Task] = {}
@@ -43,5 +47,5 @@ def get_task(name: str) -> Task:
     return TASKS[name]
 
 
-register(Task("sql", "db_id", "pred_sql", ("dev", "test"), ("dev",), text.extract_sql, text.normalize_sql, text.valid_database, prompts.sql_prompts))
-register(Task("qa", "report", "pred_answer", ("dev", "test"), ("dev", "test"), numbers.extract_answer, numbers.answer_key, text.valid_report, prompts.qa_prompts))
+register(Task("sql", "db_id", "pred_sql", ("dev", "test"), ("dev",), text.extract_sql, text.normalize_sql, text.valid_database, prompts.sql_prompts, grading.execute_grades, grading.executed_gold_control, grading.executed_shuffled_control))
+register(Task("qa", "report", "pred_answer", ("dev", "test"), ("dev", "test"), numbers.extract_answer, numbers.answer_key, text.valid_report, prompts.qa_prompts, grading.numeric_grades, grading.gold_control, grading.numeric_shuffled_control))

@@ -33,6 +33,10 @@ def test_jsonl(spark, tmp_path):
     assert spark.read.json(out).count() == 4
     manifest = writers.write_manifest(str(tmp_path / "m" / "m.json"), rows.agg(F.count(F.lit(1)).alias("n")), {"seed": 1}, writers.file_digests(spark, str(path)))
     assert manifest["counts"] == {"n": 2} and len(manifest["files"]["g.jsonl"]) == 64
+    report = writers.write_report(str(tmp_path / "r" / "r.json"), {"one": rows.limit(1), "all": rows.orderBy("id")}, {"seed": 1})
+    assert len(report["all"]) == 2 and json.load(open(tmp_path / "r" / "r.json"))["arguments"] == {"seed": 1} and "## all" in open(tmp_path / "r" / "r.md").read()
+    with pytest.raises(ValueError, match="no report"):
+        writers.write_report(str(tmp_path / "r.json"), {"all": rows}, most_rows=1)
     assert "| a | n/a |" in writers.markdown(spark.createDataFrame([("a", None)], "x string, y double"))
 
 
@@ -52,6 +56,9 @@ def test_questions(spark, tmp_path):
 def test_logs_and_lists(spark, tmp_path):
     (tmp_path / "run.log").write_text("elapsed=3s\nx elapsed=12s y\n")
     assert readers.elapsed(spark, str(tmp_path / "run.log")).first().seconds == 12.0
+    (tmp_path / "other.log").write_text("nothing\n")
+    with pytest.raises(Exception, match="no elapsed time"):
+        readers.elapsed(spark, str(tmp_path / "*.log")).collect()
     (tmp_path / "ping.log").write_text("2025-01-01T00:00:00Z 200 ok\n2025-01-01T00:05:00Z 503 no\nstarted up\n\n")
     assert [(r.ts, r.ok) for r in readers.pings(spark, str(tmp_path / "ping.log")).orderBy("ts").collect()] == [(dt.datetime(2025, 1, 1), True), (dt.datetime(2025, 1, 1, 0, 5), False)]
     (tmp_path / "ids.json").write_text('{"tasks": ["a", 2]}')
@@ -114,6 +121,11 @@ def test_grade_and_audit(spark, tmp_path):
     made = spark.createDataFrame([("test-1", "m", 1.0, [("Answer: 5", None, "stop"), ("Answer: x", None, "stop")])], "id string, served_model string, started_at double, choices array<struct<content: string, reasoning_content: string, finish_reason: string>>")
     items = spark.createDataFrame([("test-1", "test", 5.0, None), ("test-2", "test", 1.0, None)], "id string, split string, gold_num double, gold_text string")
     got = {(r.id, r.sample): (r.correct, r.error) for r in flows.grade_numeric(made, items, get_task("qa")).collect()}
+    named = spark.createDataFrame([("q", 0, True, ""), ("q", 1, False, "no_sql"), ("r", 0, False, "no_sql")], "id string, sample int, correct boolean, error string").withColumn("row_id", F.monotonically_increasing_id())
+    report = flows.grade_report(named, spark.createDataFrame([("q", "easy"), ("r", None)], "id string, difficulty string"), str(tmp_path / "grades.json"))
+    assert report["summary"]["questions"] == 2 and report["failures"]["kind"] == "no_sql" and len(report["difficulty"]) == 2
+    runs = spark.createDataFrame([("recipe", "d", 2.0, 1e12, 2e12)], "role string, device string, hours double, model_ops double, hardware_ops double")
+    assert flows.compute_report(runs, str(tmp_path / "compute.json"))["roles"]["runs"] == 1
     assert got == {("test-1", 0): (True, ""), ("test-1", 1): (False, "no_answer"), ("test-2", 0): (False, "no_answer")}
     records = spark.createDataFrame([("train-1#s0", "t", None, [("user", "Q: what now?")], "x")], "id string, db_id string, report string, messages array<struct<role: string, content: string>>, response string")
     schema = "id string, split string, kind string, group_key string, question string, evidence string, gold_sql string, gold_num double, gold_text string"

@@ -174,9 +174,9 @@ def test_uptime(spark):
 
 
 def test_serving(spark):
-    rows = spark.createDataFrame([("l1", float(i), float(i), "boom" if i == 3 else None, 10, "length" if i == 1 else "stop") for i in range(1, 9)], "level string, started_at double, latency_s double, error string, completion_tokens bigint, finish_reason string")
+    rows = spark.createDataFrame([("l1", float(i), float(i), "boom" if i == 3 else None, 30, 10, "length" if i == 1 else "stop") for i in range(1, 9)], "level string, started_at double, latency_s double, error string, prompt_tokens bigint, completion_tokens bigint, finish_reason string")
     s = accounting.serving_levels(rows, "level").first()
-    assert (s.requests, s.ok, s.errors, s.finish_length, s.wall_s) == (8, 7, 1, 1, 15.0) and s.p50 <= s.p90 <= s.p99 == 8.0
+    assert (s.requests, s.ok, s.errors, s.finish_length, s.wall_s) == (8, 7, 1, 1, 15.0) and s.prompt_tok_per_s == 14.0 and s.p50 <= s.p90 <= s.p99 == 8.0
     levels = spark.createDataFrame([("a", 1, 12.0), ("b", 0, 10.0), ("c", 0, 10.0)], "level string, errors bigint, req_per_s double")
     assert accounting.best_level(levels, "level").first().level == "b"
     assert accounting.best_level(levels.filter("errors > 0"), "level").count() == 0
@@ -204,6 +204,10 @@ def test_execution(spark, tmp_path):
     got = {(r.id, r.sample): (r.correct, r.error) for r in grading.execute_grades(rows, timeout_s=0.5).collect()}
     assert got["q", 0] == (True, "") and got["q", 1] == (False, "") and got["q", 3] == (False, "no_sql") and got["bad", 0] == (False, "gold_failed")
     assert got["q", 2][1].startswith("OperationalError") and "readonly" in got["q", 4][1] and got["q", 5][1].startswith("timeout")
+    golds = spark.createDataFrame([("a", "d", path, gold), ("b", "d", path, "SELECT 1 + 0 FROM customer WHERE id = 1"), ("c", "d", path, "SELECT id FROM customer WHERE id IN (1, 2)")], "id string, db_id string, path string, gold_sql string")
+    assert all(r.correct for r in grading.executed_gold_control(golds).collect())
+    shuffled = grading.executed_shuffled_control(golds)
+    assert {r.id: r.correct for r in shuffled.collect()} == {r.id: {r.gold, r.other} == {gold, "SELECT id FROM customer WHERE id IN (1, 2)"} for r in shuffled.collect()} and grading.control_rate(shuffled).first()["items"] == 3
     runner = grading.SqliteRunner(max_rows=2, most_open=1)
     assert runner.run(path, "SELECT id FROM customer").error == "more than 2 rows" and runner.run(None, "SELECT 1").error == "no database" and runner.run(path + "x", "SELECT 1").error.startswith("OperationalError")
     assert runner.run(path, "SELECT id, id FROM customer WHERE id < 3").rows == {(1, 1), (2, 2)} and runner.run(path, "SELECT char(55296) || x'ff'").count == 1
