@@ -72,6 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _FOLDERS: set[str] = set()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores when the files give fewer than half as many tasks (one small file), for work that is much heavier than reading.
+
+    Larger inputs have more tasks than cores and stay as they are, so nothing is shuffled there. df must need no shuffle itself.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables (a file or a folder of files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
