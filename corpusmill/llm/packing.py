@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import buckets_for, grouped_rank
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .tokens import TOKENIZER, count_tokens
 
 CAPACITY = 2048
@@ -182,7 +182,7 @@ def _best_pair(sizes: np.ndarray, free: np.ndarray, room: int) -> tuple[int, int
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens), written to the checkpoint folder so that texts are read and tokenized once."""
-    return cut_lineage(documents.select("doc_id", count_tokens(F.col("text"), path).alias("n_tokens")))
+    return cut_lineage(spread(documents.select("doc_id", "text")).select("doc_id", count_tokens(F.col("text"), path).alias("n_tokens")))
 
 
 def pieces(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:

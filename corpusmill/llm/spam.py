@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .language import FUNCTION_WORDS, LANGUAGES_OF as _LANGUAGES_OF
 from .mixing import language_code
 
@@ -239,7 +239,7 @@ def features(documents: DataFrame) -> DataFrame:
             rows.insert(0, "lang", batch["lang"].to_numpy())
             yield rows[rows["words"] > 0].drop(columns="words")
 
-    return documents.filter("doc_id is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text").mapInPandas(run, "lang string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return spread(documents.filter("doc_id is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text")).mapInPandas(run, "lang string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 _TOWARDS = np.array(list(FEATURES.values()), dtype=float)
@@ -346,7 +346,7 @@ def flagged_pages(documents: DataFrame, direction: float = DIRECTION) -> DataFra
             yield out[["doc_id", "lang", "distance", "direction", "spam"]]
 
     ready = documents.filter("doc_id is not null and text is not null").select("doc_id", language_code(F.col("lang")).alias("lang"), "text")
-    return ready.mapInPandas(run, "doc_id bigint, lang string, distance double, direction double, spam double")
+    return spread(ready).mapInPandas(run, "doc_id bigint, lang string, distance double, direction double, spam double")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
