@@ -3,9 +3,10 @@ import subprocess
 import sys
 
 import pytest
-from pyspark import SparkFiles
+from pyspark import SparkFiles, cloudpickle
 
 import corpusmill
+from corpusmill.queries import QUERIES
 
 
 def _alone(spark, tmp_path, code):
@@ -20,7 +21,13 @@ def test_archive_has_all_modules(spark, tmp_path):
     _alone(spark, tmp_path, f"import importlib\nfor name in {names!r}: importlib.import_module(name)")
 
 
-@pytest.mark.parametrize("query", ["record_render_counts"])
-def test_worker_loads_query(spark, tmp_path, query):
-    """record_render_counts needs the module of its encoder in the workers."""
-    _alone(spark, tmp_path, f"from corpusmill.queries import QUERIES, _characters\nassert {query!r} in QUERIES and _characters('ab') == [(97, 0, 1), (98, 1, 2)]")
+@pytest.mark.parametrize("query", ["record_render_counts", "rollout_sequence_counts"])
+def test_worker_loads_query(spark, sf, tmp_path, monkeypatch, query):
+    """The function that a query sends to the workers loads and runs where there is only the archive."""
+    kind, sent = type(spark.range(1)), []
+    real = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, *a, **k: sent.append(f) or real(self, f, *a, **k))
+    QUERIES[query](spark, sf)
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(sent[-1]))
+    rows = {"id": ["a"], "messages": [None], "text": ["<|im_start|>assistant\nab<|im_end|>\n"], "response": ["ab"]}
+    _alone(spark, tmp_path, f"import pickle, pandas as pd\ngot = pd.concat(pickle.load(open('f', 'rb'))(iter([pd.DataFrame({rows!r})])))\nassert got.status.tolist() == ['kept'] and got.n_trained.tolist() == [12], got")
