@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,8 @@ def trained_span(text: str, response: str, end: str) -> tuple[int, int] | None:
 
 
 KEPT = ("kept", "truncated")
+#: Tokens that a Python worker holds before it hands its rows on.
+MOST_TOKENS = 1 << 19
 
 
 def rendered(records: DataFrame, encode: Callable[[str], list[tuple[int, int, int]]], limit: int, overlong: str = "drop", end: str = "<|im_end|>", render: Callable[[list[dict]], str] | None = None, pad: int | None = None) -> DataFrame:
@@ -105,28 +109,37 @@ def rendered(records: DataFrame, encode: Callable[[str], list[tuple[int, int, in
         raise ValueError(f"limit must be a multiple of {ALIGN}")
     if overlong not in ("drop", "truncate"):
         raise ValueError(f"overlong is drop or truncate, not {overlong!r}")
-    parts = records.select("id", weighted_messages().alias("messages"), chat_text(weighted_messages(), end=end).alias("text"), "response")
+    text = [chat_text(weighted_messages(), end=end).alias("text")] if render is None else [weighted_messages().alias("messages"), F.lit(None).cast("string").alias("text")]
+    parts = records.select("id", *text, "response")
+    nothing = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
 
-    def one(messages, text: str | None, response: str | None) -> tuple[list[int], list[float], int, int, str]:
+    def one(messages, text: str | None, response: str | None) -> tuple[np.ndarray, np.ndarray, int, int, str]:
         if render is not None and messages is not None:
             text = render([{"role": m["role"], "content": m["content"]} for m in messages])
         span = trained_span(text, response, end) if text is not None and response else None
         if span is None:
-            return [], [], 0, 0, "unmatched"
+            return *nothing, 0, 0, "unmatched"
         tokens = encode(text)
         if len(tokens) > limit and overlong == "drop":
-            return [], [], len(tokens), 0, "overlong"
+            return *nothing, len(tokens), 0, "overlong"
         status = "truncated" if len(tokens) > limit else "kept"
         tokens = tokens[:limit]
         ids = [t for t, _, _ in tokens]
-        weights = [float(span[0] <= s and max(e, s + 1) <= span[1]) for _, s, e in tokens]
+        inside = [span[0] <= s and (e if e > s else s + 1) <= span[1] for _, s, e in tokens]
         fill = 0 if pad is None else limit - len(ids)
-        return ids + [pad] * fill, weights + [0.0] * fill, len(ids), int(sum(weights)), status
+        return np.array(ids + [pad] * fill, dtype=np.int32), np.array(inside + [False] * fill, dtype=np.float32), len(ids), sum(inside), status
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "input_ids", "loss_weight", "n_real", "n_trained", "status"]
         for batch in batches:
-            rows = [(rid, *one(m, t, r)) for rid, m, t, r in zip(batch["id"], batch["messages"], batch["text"], batch["response"], strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "input_ids", "loss_weight", "n_real", "n_trained", "status"])
+            rows, held = [], 0
+            for rid, m, t, r in zip(batch["id"], batch["messages"] if "messages" in batch else repeat(None, len(batch)), batch["text"], batch["response"], strict=True):
+                rows.append((rid, *one(m, t, r)))
+                held += len(rows[-1][1])
+                if held >= MOST_TOKENS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return parts.mapInPandas(run, "id string, input_ids array<int>, loss_weight array<float>, n_real int, n_trained int, status string")
 

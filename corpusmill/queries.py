@@ -604,7 +604,7 @@ st AS (SELECT *, CASE WHEN head IS NULL OR coalesce(response, '') = '' THEN 'unm
 
 def _characters(text: str) -> list[tuple[int, int, int]]:
     """Each character as a token."""
-    return [(ord(c), i, i + 1) for i, c in enumerate(text)]
+    return list(zip(map(ord, text), range(len(text)), range(1, len(text) + 1), strict=True))
 
 
 RULES = """CASE WHEN id IS NULL OR id = '' THEN 'no_id' WHEN response IS NULL THEN 'no_response' WHEN messages IS NULL OR len(messages) = 0 THEN 'no_messages'

@@ -389,3 +389,16 @@ def test_sequences_and_stats(spark):
     for bad in (["train"], ["none"]):
         with pytest.raises(ValueError, match="split"):
             prompts.check_splits(bad, "train")
+
+
+def test_rendering_holds_few_tokens(spark):
+    """A worker's memory doesn't grow with the tokens of an Arrow batch; the tokens tell it."""
+
+    def encode(text):
+        with open("/proc/self/statm") as f:
+            mb = int(f.read().split()[1]) // 256
+        return [(mb, i, i + 1) for i in range(4096)]
+
+    rows = spark.range(3000).selectExpr("cast(id as string) id", "array(named_struct('role', 'user', 'content', 'q')) messages", "'x' response").coalesce(1)
+    got = batching.rendered(rows, encode, 4096).agg(F.count("id"), F.min("n_real"), F.min(F.col("input_ids")[0]), F.max(F.col("input_ids")[0])).first()
+    assert got[:2] == (3000, 4096) and got[3] - got[2] < 150, got

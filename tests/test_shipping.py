@@ -21,7 +21,7 @@ def test_archive_has_all_modules(spark, tmp_path):
     _alone(spark, tmp_path, f"import importlib\nfor name in {names!r}: importlib.import_module(name)")
 
 
-@pytest.mark.parametrize("query", ["record_render_counts", "rollout_sequence_counts"])
+@pytest.mark.parametrize("query", ["record_render_counts", "rollout_sequence_counts", "training_steps"])
 def test_worker_loads_query(spark, sf, tmp_path, monkeypatch, query):
     """The function that a query sends to the workers loads and runs where there is only the archive."""
     kind, sent = type(spark.range(1)), []
