@@ -66,14 +66,14 @@ def rake(tokens: np.ndarray, sources: np.ndarray, margins: list[np.ndarray], sha
     return factor
 
 
-def cells(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample: int = topics.SAMPLE) -> DataFrame:
+def cells(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of the documents whose source is a target; source names are spelled alike first.
 
-    Topics come from a model fitted to sample documents of these.
+    Topics come from a model fitted to all of these.
     """
     known = targets.select(source_name(F.col("source")).alias("source")).distinct()
     shaped = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), "text").join(known, "source", "left_semi")
-    return cut_lineage(topics.sized(shaped, topics.fit(*topics.sampled(shaped, sample), path), path))
+    return cut_lineage(topics.sized(shaped, path))
 
 
 #: Bins of the histogram of the documents of a source and size class.
@@ -110,17 +110,17 @@ def calibrate(histogram: list[tuple[str, int, int, float]], wanted: dict[tuple[s
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, sample: int = topics.SAMPLE) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, copies): how often each document of a target source is used; 0 is listed too.
 
     Targets with a null or no share, and documents of other or null sources, contribute nothing; documents without tokens
     are used as often as the others of their cell with no effect on the shares. Equal doc_ids, and null ones, are drawn alike. To the
-    driver go a bounded sample for the topics, one row for each target and each cell (targets x 5 languages x 5 topics), and
+    driver go sums over the vocabulary for the topics, one row for each target and each cell (targets x 5 languages x 5 topics), and
     a histogram of seven
     size classes by BINS rows a target.
     """
     spark = documents.sparkSession
-    placed = cells(documents, targets, path, sample)
+    placed = cells(documents, targets, path)
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeat").filter("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeat")).orderBy("source").collect()
     sums = placed.groupBy("source", "lang", "topic").agg(F.sum("n_tokens")).orderBy("source", "lang", "topic").collect()
     number = {g[0]: i for i, g in enumerate(goals)}

@@ -221,3 +221,24 @@ def test_topics(spark):
     assert len(found) == 3 and len({k for _, k in found}) == 3  # the same topic for a subject in both languages
     assert model.topic([], "en") == "none" and topics.fit([], []).topic([1], "en") == "none"
     assert topics.fit(["one text", ""], ["en", "xx"]).topic(encode("one text"), "zz") in ("t0", "none")
+
+
+def test_topics_are_fitted_to_all_documents(spark):
+    """A subject that only the documents with the largest hashes have is a topic, and the model doesn't depend on partitions."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import topics
+
+    rng = random.Random(4)
+    words = [w.split() for w in ("revenue asset margin dividend ledger audit", "select join column table index schema", "soup onion butter garlic pepper oven")]
+    ids = [r.id for r in spark.range(2600).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, " ".join(rng.choices(words[2 if at >= 2400 else at % 2], k=40)), "en", "a") for at, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeat int")
+    got = {r.doc_id: r.topic for r in mixing.cells(docs, targets).collect()}
+    dish = {got[i] for i in ids[2400:]}
+    assert "none" not in set(got.values()) and not dish & {got[i] for i in ids[:2400]}
+    assert got == {r.doc_id: r.topic for r in mixing.cells(docs.repartition(9), targets).collect()}
+    table = topics.tokenized(docs.repartition(3)).cache()
+    a, b = (topics.fit_to(topics.Spread(t, topics.Batch.read))[0] for t in (table, table.repartition(70)))
+    assert (a.centres == b.centres).all() and (a.means == b.means).all()
